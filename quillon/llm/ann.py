@@ -133,7 +133,7 @@ def _cells(df: DataFrame, books: dict, most: int, radius: float) -> DataFrame:
     return df.mapInArrow(run, f"{kinds}, cells array<int>")
 
 
-def top_similar(vectors: DataFrame, k: int = 10, probes: int = 6, radius: float = 0.5, min_cosine: float | None = None, sample_rows: int = 8192, cell_rows: int = 4096, only_queries: bool = False) -> DataFrame:
+def top_similar(vectors: DataFrame, k: int = 10, probes: int = 3, radius: float = 0.5, min_cosine: float | None = None, sample_rows: int = 8192, cell_rows: int = 4096, only_queries: bool = False) -> DataFrame:
     """(query, id, cosine, rank): for each query vector the k most similar stored vectors of its collection, rank from 1.
 
     vectors: (id, coll, q, vec) of unit_vectors(); q is false for stored vectors and true for those that only ask. With only_queries the
@@ -150,12 +150,19 @@ def top_similar(vectors: DataFrame, k: int = 10, probes: int = 6, radius: float
     heads = heads.groupBy("coll", "cls").agg(F.min("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids"))
     entries = table(_cells(heads, books, 1, 0.0).withColumn("cell", F.col("cells")[0]).drop("cells"), "entries")
     asking = one.where("q") if only_queries else one
-    queries = asking.groupBy("coll", "cls").agg(F.min("vec").alias("vec"))
-
-    sizes = entries.groupBy("coll", "cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("parts"))
-    visits = _cells(queries, books, probes, radius).select("coll", "cls", "vec", F.explode("cells").alias("cell"))
-    visits = visits.join(sizes, ["coll", "cell"]).select("coll", "cell", "cls", "vec", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    entries = entries.join(sizes, ["coll", "cell"]).select("coll", "cell", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"), "cls", "vec")
+    new = one.where("q").groupBy("coll", "cls").agg(F.min("vec").alias("vec")).join(entries.select("coll", "cls"), ["coll", "cls"], "left_anti")
+    queries = entries.select("coll", "cls", "vec")
+    queries = queries.join(one.where("q").select("coll", "cls"), ["coll", "cls"], "left_semi") if only_queries else queries
+
+    visits = _cells(queries.unionByName(new), books, probes, radius).select("coll", "cls", "vec", F.explode("cells").alias("cell"))
+    targets = entries.select("coll", "cell", "cls", "vec")
+    large = bounded(table(entries.groupBy("coll", "cell").count().where(F.col("count") > cell_rows).select("coll", "cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts")), "large-cells"))
+    if large.isEmpty():
+        visits, targets = visits.withColumn("part", F.lit(0)), targets.withColumn("part", F.lit(0))
+    else:
+        parts = F.coalesce("parts", F.lit(1))
+        visits = visits.join(large, ["coll", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        targets = targets.join(large, ["coll", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).drop("parts")
 
     least = -2.0 if min_cosine is None else min_cosine - 1e-5
 
@@ -183,7 +190,7 @@ def top_similar(vectors: DataFrame, k: int = 10, probes: int = 6, radius: float
         return pd.DataFrame({"coll": p["coll"].iloc[0], "cls": p["cls"].to_numpy()[i], "other": e["cls"].to_numpy()[j], "cosine": np.round(s, 9)})
 
     keys = ["coll", "cell", "part"]
-    near = visits.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(rerank, "coll string, cls binary, other binary, cosine double")
+    near = visits.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(rerank, "coll string, cls binary, other binary, cosine double")
     ids = heads.select("coll", F.col("cls").alias("other"), "ids")
     # heads of the near classes in order; k + 1 ids are enough for every member of the asking class
     lists = near.join(ids, ["coll", "other"]).select("coll", "cls", "cosine", F.explode("ids").alias("id"))

@@ -139,4 +139,6 @@ def packed(items: DataFrame, profiles: DataFrame, shard_rows: int = 3_000) -> Da
             out.append(pd.DataFrame({"profile": profile, "container": window * n + key[0], "id": p["id"].to_numpy()[item], "piece": piece, "first_token": piece * capacity, "tokens": size}))
         return pd.concat(out) if out else pd.DataFrame({"profile": [], "container": [], "id": [], "piece": [], "first_token": [], "tokens": []})
 
-    return spread.groupBy("shard").applyInPandas(run, f"profile string, container bigint, id {kind}, piece int, first_token bigint, tokens bigint")
+    # every shard is a unit of work of its own: small output must not gather them in one task
+    tasks = min(n, 4 * items.sparkSession.sparkContext.defaultParallelism) if n < 10_000 else n // 4
+    return spread.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, f"profile string, container bigint, id {kind}, piece int, first_token bigint, tokens bigint")

@@ -133,6 +133,16 @@ def _cells(df: DataFrame, books: dict, most: int, radius: float) -> DataFrame:
     return df.mapInArrow(run, f"{kinds}, cells array<int>")
 
 
+def _block(s: np.ndarray, n: int, least: float, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row (from `at` on), column and value of each row's n greatest values, and of those as great as the least of them, that reach `least`."""
+    if s.shape[1] > n:
+        edge = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+        i, j = np.nonzero(s >= np.maximum(edge, least)[:, None])
+    else:
+        i, j = np.nonzero(s >= least)
+    return i + at, j, s[i, j]
+
+
 def top_similar(vectors: DataFrame, k: int = 10, probes: int = 3, radius: float = 0.5, min_cosine: float | None = None, sample_rows: int = 8192, cell_rows: int = 4096, only_queries: bool = False) -> DataFrame:
     """(query, id, cosine, rank): for each query vector the k most similar stored vectors of its collection, rank from 1.
 
@@ -166,31 +176,18 @@ def top_similar(vectors: DataFrame, k: int = 10, probes: int = 3, radius: float
 
     least = -2.0 if min_cosine is None else min_cosine - 1e-5
 
-    def rerank(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(e):
-            return pd.DataFrame({"coll": [], "cls": [], "other": [], "cosine": []})
-        x = np.frombuffer(b"".join(p["vec"]), dtype=np.float32).reshape(len(p), -1)
-        y = np.frombuffer(b"".join(e["vec"]), dtype=np.float32).reshape(len(e), -1).astype(np.float64)
-        out = []
-        for at in range(0, len(x), 1024):
-            s = x[at : at + 1024].astype(np.float64) @ y.T
-            if s.shape[1] > k + 1:
-                top = np.argpartition(-s, k, axis=1)[:, : k + 1]
-                i = np.repeat(np.arange(len(s)), k + 1)
-                i, j = i, top.ravel()
-                edge = np.take_along_axis(s, top, axis=1).min(axis=1)
-                tied = s >= edge[:, None]
-                if tied.sum() > len(i):  # as similar as the last of them: ids decide later
-                    i, j = np.nonzero(tied)
-            else:
-                i, j = (z.ravel() for z in np.indices(s.shape))
-            ok = s[i, j] >= least
-            out.append((i[ok] + at, j[ok], s[i[ok], j[ok]]))
-        i, j, s = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pd.DataFrame({"coll": p["coll"].iloc[0], "cls": p["cls"].to_numpy()[i], "other": e["cls"].to_numpy()[j], "cosine": np.round(s, 9)})
+    def rerank(p: pa.Table, e: pa.Table) -> pa.Table:
+        i = j = np.zeros(0, dtype=np.int64)
+        s = np.zeros(0)
+        if len(p) and len(e):
+            x = np.frombuffer(b"".join(p["vec"].to_pylist()), dtype=np.float32).reshape(len(p), -1)
+            y = np.frombuffer(b"".join(e["vec"].to_pylist()), dtype=np.float32).reshape(len(e), -1).astype(np.float64)
+            i, j, s = (np.concatenate(z) for z in zip(*(_block(x[at : at + 1024].astype(np.float64) @ y.T, k + 1, least, at) for at in range(0, len(x), 1024)), strict=True))
+        cols = [p["coll"].combine_chunks().take(pa.array(i)), p["cls"].combine_chunks().take(pa.array(i)), e["cls"].combine_chunks().take(pa.array(j)), pa.array(np.round(s, 9))]
+        return pa.table(cols, names=["coll", "cls", "other", "cosine"])
 
     keys = ["coll", "cell", "part"]
-    near = visits.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(rerank, "coll string, cls binary, other binary, cosine double")
+    near = visits.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(rerank, "coll string, cls binary, other binary, cosine double")
     ids = heads.select("coll", F.col("cls").alias("other"), "ids")
     # heads of the near classes in order; k + 1 ids are enough for every member of the asking class
     lists = near.join(ids, ["coll", "other"]).select("coll", "cls", "cosine", F.explode("ids").alias("id"))

@@ -128,6 +128,9 @@ def packed(items: DataFrame, profiles: DataFrame, shard_rows: int = 3_000) -> Da
     """
     kind = items.schema["id"].dataType.simpleString()
     caps = [(r[0], r[1]) for r in profiles.select("profile", "capacity_tokens").where("capacity_tokens > 0").distinct().collect()]  # a few configured sizes
+    schema = f"profile string, container bigint, id {kind}, piece int, first_token bigint, tokens bigint"
+    if not caps:
+        return items.sparkSession.createDataFrame([], schema)
     n = max(1, -(-items.count() // shard_rows))
     spread = items.select("id", F.coalesce("tokens", F.lit(0)).alias("tokens")).withColumn("shard", F.pmod(F.hash(F.xxhash64("id"), F.monotonically_increasing_id()), F.lit(n)))
 
@@ -137,8 +140,8 @@ def packed(items: DataFrame, profiles: DataFrame, shard_rows: int = 3_000) -> Da
             item, piece, size = pieces(p["tokens"].to_numpy(), capacity)
             window = pack(size, capacity)
             out.append(pd.DataFrame({"profile": profile, "container": window * n + key[0], "id": p["id"].to_numpy()[item], "piece": piece, "first_token": piece * capacity, "tokens": size}))
-        return pd.concat(out) if out else pd.DataFrame({"profile": [], "container": [], "id": [], "piece": [], "first_token": [], "tokens": []})
+        return pd.concat(out)
 
     # every shard is a unit of work of its own: small output must not gather them in one task
     tasks = min(n, 4 * items.sparkSession.sparkContext.defaultParallelism) if n < 10_000 else n // 4
-    return spread.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, f"profile string, container bigint, id {kind}, piece int, first_token bigint, tokens bigint")
+    return spread.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, schema)

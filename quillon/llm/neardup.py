@@ -26,7 +26,7 @@ from ..shared import table
 from . import words as W
 
 SYMBOLS, ROWS, SHINGLE = 48, 3, 3
-SEGMENTS = SYMBOLS // ROWS
+SEGMENTS = 2 * (SYMBOLS // ROWS)  # the symbols are cut into segments twice: neighbours, and those a third of the way apart
 RADIUS = 38  # of 96 bits: unrelated texts differ in 48 +- 5, texts of likeness 0.5 in 24 +- 5
 LEAF = 48
 
@@ -43,7 +43,8 @@ def fingerprints(texts: list[str | None], min_words: int) -> tuple[list[int], li
     lengths = np.array([at[i + 1] - at[i] - SHINGLE + 1 for i in keep])
     m = W.minhash(runs, np.concatenate([[0], np.cumsum(lengths)[:-1]]), SYMBOLS)
     k = W.odd_constants(17, ROWS)
-    m64 = W.mix(m.astype(np.uint64)).reshape(len(keep), SEGMENTS, ROWS)
+    m64 = W.mix(m.astype(np.uint64)).reshape(len(keep), SEGMENTS // 2, ROWS)
+    m64 = np.concatenate([m64, m64.reshape(len(keep), ROWS, SEGMENTS // 2).transpose(0, 2, 1)], axis=1)
     segments = W.mix((m64 * k).sum(axis=2, dtype=np.uint64) + np.arange(SEGMENTS, dtype=np.uint64))
     spread = W.mix(m.astype(np.uint64) + np.uint64(7))
     place = np.uint64(1) << np.arange(SYMBOLS, dtype=np.uint64)

@@ -115,5 +115,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_requests_topk, p1_embeddings_topk, p2_found, p2_groups, p4_found, p5_found, p5_paragraphs, p6_packed, p6_fill, p7_found, p8_found, p8_redacted)}
 
 
+_RUNS = "list_distinct(list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))"
+_WORDS = r"regexp_extract_all(lower({x}), '[\pL\pN]+')"
+_ALIKE = """, g AS MATERIALIZED (SELECT k, unnest(runs) AS run FROM t), n AS MATERIALIZED (SELECT x.k AS a, y.k AS b, count(*) AS n_both FROM g x JOIN g y ON x.run = y.run AND x.k < y.k GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM n JOIN t x ON x.k = a JOIN t y ON y.k = b WHERE n_both >= 0.5 * (len(x.runs) + len(y.runs) - n_both)) """
+
+_P1 = """WITH s AS (SELECT id, json_extract_string(metadata, '$.collection') AS coll, embedding AS v, false AS q FROM stored_documents UNION ALL SELECT request_id, collection, query_vector, true FROM search_requests),
+u AS (SELECT coll, id, q, min(v)::DOUBLE[] AS v FROM s JOIN collection_specs ON name = coll WHERE len(v) = embedding_dim AND len(list_filter(v, lambda x: isnan(x) OR isinf(x) OR x IS NULL)) = 0 AND list_sum(list_transform(v, lambda x: abs(x))) > 0 GROUP BY 1, 2, 3),
+r AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS c, row_number() OVER (PARTITION BY a.coll, a.q, a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS k FROM u a JOIN u b ON a.coll = b.coll AND NOT b.q AND a.id <> b.id)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE k <= 10 AND c >= 0.94"""
+
+_P2 = f"""WITH w AS (SELECT DISTINCT record_id, {_WORDS.format(x='content')} AS w FROM records WHERE content IS NOT NULL), v AS (SELECT w, list(DISTINCT record_id) AS ids, row_number() OVER () AS k FROM w WHERE len(w) >= 20 GROUP BY w),
+t AS MATERIALIZED (SELECT k, ids, {_RUNS} AS runs FROM v)""" + _ALIKE + """SELECT DISTINCT least(p, q) AS record_id_a, greatest(p, q) AS record_id_b FROM (
+SELECT unnest(x.ids) AS p, y.ids AS qs FROM l JOIN t x ON x.k = a JOIN t y ON y.k = b UNION ALL SELECT unnest(ids), ids FROM t), unnest(qs) AS z(q) WHERE p <> q"""
+
+_P4 = f"""WITH w AS (SELECT -1 AS ord, content, {_WORDS.format(x='content')} AS w FROM records WHERE content IS NOT NULL UNION ALL SELECT incoming_id, content, {_WORDS.format(x='content')} FROM incoming_batches WHERE content IS NOT NULL),
+e AS (SELECT ord, w, regexp_replace(content, '^[\\s\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+|[\\s\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+$', '', 'g') AS s FROM w WHERE len(w) >= 20),
+v AS (SELECT w, min(ord) AS first, row_number() OVER () AS k FROM e GROUP BY w), t AS MATERIALIZED (SELECT k, first, {_RUNS} AS runs FROM v)""" + _ALIKE + """
+, o AS (SELECT s, min(ord) AS least FROM e GROUP BY s), p AS (SELECT a AS k, y.first AS before FROM l JOIN t y ON y.k = b UNION ALL SELECT b, x.first FROM l JOIN t x ON x.k = a), m AS (SELECT k, min(before) AS before FROM p GROUP BY k)
+SELECT ord AS incoming_id, CASE WHEN o.least < ord THEN 'exact' ELSE 'near' END AS kind FROM e JOIN o USING (s) JOIN v USING (w) LEFT JOIN m USING (k) WHERE ord >= 0 AND (o.least < ord OR v.first < ord OR m.before < ord)"""
+
+_P7 = f"""WITH d AS (SELECT doc_id, {_WORDS.format(x='text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format(x='text')} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(range(len(w) - 11), lambda j: array_to_string(w[j + 1:j + 12], ' '))) AS g FROM d), ig AS (SELECT item_id, unnest(list_transform(range(len(w) - 11), lambda j: array_to_string(w[j + 1:j + 12], ' '))) AS g FROM i)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Exact SQL for the searches; the rest has no short SQL and is tested against brute force or by round trips."""
+    return {"p1_found": _P1, "p2_found": _P2, "p4_found": _P4, "p7_found": _P7}

@@ -50,7 +50,7 @@ def unit_vectors(df: DataFrame, extra: str | None = None) -> DataFrame:
             keep = pa.array([i for i, v in enumerate(vec) if v is not None], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("id").take(keep), b.column("coll").take(keep), b.column("q").take(keep), pa.array(vec, pa.binary()).take(keep)], names=["id", "coll", "q", "vec"])
 
-    q = F.lit(True) if extra is None else F.col(extra)
+    q = F.lit(False) if extra is None else F.col(extra)
     return df.where("id IS NOT NULL AND coll IS NOT NULL AND dim IS NOT NULL AND embedding IS NOT NULL").select("id", "coll", F.col("dim").cast("int").alias("dim"), "embedding", q.alias("q")).mapInArrow(
         run, "id string, coll string, q boolean, vec binary"
     )
@@ -125,8 +125,9 @@ def _cells(df: DataFrame, books: dict, most: int, radius: float) -> DataFrame:
                     for r, i, j in zip(rows, d1.argmin(axis=1), d2.argmin(axis=1), strict=True):
                         cells[r] = [int(i) * 1024 + int(j)]
                 else:
+                    few = len(k1) * len(k2) <= 9  # so few cells that all of them may be visited
                     for r, u, v in zip(rows, d1, d2, strict=True):
-                        cells[r] = [i * 1024 + j for i, j in nearest_cells(u, v, most, radius)]
+                        cells[r] = [i * 1024 + j for i, j in nearest_cells(u, v, 9 if few else most, radius)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)

@@ -1,10 +1,11 @@
 """New batches against everything accepted before: a segment index for edit distance over words.
 
-The history's index holds, for each distinct sequence of words, a fixed number of disjoint segments that depends on its length:
-with L words, (L - 2) // 9 + 1 segments of six words each, evenly spaced, so start and number follow from L. A text of likeness 0.5
-or more on three-word runs has at most (L - 2) / 9 words edited, each edit touches one segment at most, so one segment stays whole
-and occurs as a substring of the batch text. A batch text probes its six-word substrings, candidates are verified by bounded
-edit distance and, where whole sentences moved or were added, by the likeness itself; then its own segments are appended.
+The history's index holds, for each distinct sequence of words, a fixed number of disjoint segments that depends on its length alone:
+with L words, L // 5 segments of five words each, evenly spaced, so start and number follow from L. Of two texts of about the same length and
+likeness 0.5 or more on three-word runs, each has lost at most a third of its n runs to edits. One edited word takes three runs and touches one
+segment, two adjacent ones take four and touch two at most: no more than n / 6 of the L / 5 segments are touched, so some stay whole and occur
+as substrings of the other text. A batch text probes its five-word substrings; candidates are verified by bounded edit distance and,
+where whole sentences moved or were added, by the likeness itself; then the batch's own segments are appended.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from ..shared import table
 from . import words as W
 from .neardup import RADIUS, fingerprints
 
-SEGMENT, SHINGLE = 6, 3
+SEGMENT, SHINGLE = 5, 3
 INDEX = "cls binary, first bigint, words int, low bigint, high bigint, segments array<bigint>"
 
 
@@ -31,7 +32,7 @@ def most_edits(n_words: int) -> int:
 
 def segment_starts(n_words: int) -> np.ndarray:
     """First word of each segment of a text of n_words words."""
-    m = max(1, min(most_edits(n_words) + 1, n_words // SEGMENT))
+    m = max(1, n_words // SEGMENT)
     return (np.arange(m) * (n_words - SEGMENT)) // max(m - 1, 1)
 
 

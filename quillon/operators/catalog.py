@@ -23,6 +23,10 @@ def listed(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy("name")
 
 
+def _without(m: Column, keys: tuple[str, ...]) -> Column:
+    return F.map_filter(m, lambda k, _: ~k.isin(*keys))
+
+
 def patched(catalog: DataFrame, name: str, namespace: str | None = None, dim: int | None = None, **maps: dict[str, str]) -> DataFrame:
     """catalog with one collection changed: maps (metadata, metadata_schema, index_params, access_policy) are merged, the metric stays."""
     hit = F.col("name") == name
@@ -32,7 +36,7 @@ def patched(catalog: DataFrame, name: str, namespace: str | None = None, dim: in
             out = out.withColumn(c, F.when(hit, F.lit(v)).otherwise(F.col(c)))
     for c, entries in maps.items():
         new = F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
-        keep = F.map_filter(F.coalesce(c, F.create_map().cast("map<string,string>")), lambda k, _, e=entries: ~k.isin(*e))
+        keep = _without(F.coalesce(c, F.create_map().cast("map<string,string>")), tuple(entries))
         out = out.withColumn(c, F.when(hit, F.map_concat(keep, new)).otherwise(F.col(c)))
     return out
 

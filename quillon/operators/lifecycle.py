@@ -7,6 +7,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import identity
 from ..functions.text import strip, without_nul
@@ -42,7 +43,7 @@ def validation_errors(m: Column, size: Column | None = None, most_bytes: int = 6
     return F.array_compact(F.array(*checks))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def json_bytes(text: pd.Series) -> pd.Series:
     """Bytes of a JSON text as written with ASCII escapes and a space after separators."""
     import json
@@ -149,7 +150,8 @@ def count(records: DataFrame, raw: Mapping | None = None, compat: bool = False)
 
 def expires_at(created_at: Column, ttl_days: Column) -> Column:
     t = F.when(created_at.rlike(r"(Z|[+-]\d{2}:\d{2})\z"), created_at).otherwise(F.concat(created_at, F.lit("Z"))).try_cast("timestamp")
-    return t + F.make_dt_interval(days=F.greatest(ttl_days.cast("int"), F.lit(0)))
+    days = ttl_days.cast("int")
+    return t + F.make_dt_interval(days=F.when(days.isNotNull(), F.greatest(days, F.lit(0))))
 
 
 def ttl_expired(created_at: Column, ttl_days: Column, now: str) -> Column:

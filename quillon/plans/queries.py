@@ -490,7 +490,7 @@ def delete_by_filter(spark, d):
     return lifecycle.delete_by_filter(_records(spark, d), {"tenant_id": "tnt-quenby", "lifecycle_state": "active"})[1]
 
 
-_EXPIRED = "coalesce(TIMESTAMPTZ '2025-06-01 00:00:00+00' >= try_cast(CASE WHEN regexp_matches(metadata.created_at, '(Z|[+-][0-9][0-9]:[0-9][0-9])$') THEN metadata.created_at ELSE metadata.created_at || 'Z' END AS TIMESTAMPTZ) + to_days(greatest({ttl}, 0)), false)"
+_EXPIRED = "coalesce(TIMESTAMPTZ '2025-06-01 00:00:00+00' >= try_cast(CASE WHEN regexp_matches(metadata.created_at, '(Z|[+-][0-9][0-9]:[0-9][0-9])$') THEN metadata.created_at ELSE metadata.created_at || 'Z' END AS TIMESTAMPTZ) + to_days(CASE WHEN {ttl} IS NOT NULL THEN greatest({ttl}, 0) END), false)"
 
 
 @query(f"SELECT record_id, {_EXPIRED.format(ttl='metadata.ttl_days')} AS expired FROM records")

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import identity, text
 
@@ -24,7 +25,7 @@ def inline(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.lit("inline://").alias("source_uri"), F.lit("inline.txt").alias("filename"), F.lit("text/plain").alias("mime_type"), F.col(column).cast("binary").alias("data"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(data: pd.Series) -> pd.Series:
     """Bytes as UTF-8, else UTF-16, else Latin-1."""
 

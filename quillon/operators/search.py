@@ -121,13 +121,14 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text: str = "content")
     terms = sorted(set(re.findall(r"[^\W_]+", query.lower())))
     times = lambda term: F.size(F.filter("t", lambda x: x == term))
     rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("t")).select("id", F.size("t").alias("n"), *[times(y).alias(f"tf{i}") for i, y in enumerate(terms)])
-    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    counts = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    docs_n, mean = counts["docs"], counts["mean"] or 1.0
     parts = [
-        F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
+        F.log(F.lit(1 + (docs_n - counts[f"df{i}"] + 0.5) / (counts[f"df{i}"] + 0.5))) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("n") / mean))
         for i in range(len(terms))
     ]
     total = sum(parts[1:], parts[0]) if parts else F.lit(0.0)
-    return rows.crossJoin(F.broadcast(stats)).where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").select("id", total.alias("lexical"))  # stats is one row
+    return rows.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").select("id", total.alias("lexical"))
 
 
 def hybrid(docs: DataFrame, query_text: str, query: Sequence[float], k: int, metric: str = "cosine", vector_k: int = 50) -> DataFrame:

@@ -75,10 +75,11 @@ def is_terminal(status: Column) -> Column:
     return F.coalesce(status.isin("completed", "failed", "cancelled"), F.lit(False))
 
 
-def async_status(status: Column, completed: Column, success: Column) -> Column:
+def async_status(status: Column, completed: Column, success: Column, has_error: Column) -> Column:
     """End of a remote job by its status word, else by its flags: `failed`, `ok`, or null while it runs."""
-    s = F.lower(F.trim(status))
-    return F.when(s.isin("failed", "error", "cancelled", "canceled"), "failed").when(s.isin("complete", "completed", "done", "success", "succeeded"), "ok").when(completed, F.when(success, "ok").otherwise("failed"))
+    s, done, good = F.lower(F.trim(status)), F.coalesce(completed, F.lit(False)), F.coalesce(success, F.lit(False))
+    by_word = F.when(s.isin("failed", "error", "cancelled", "canceled"), "failed").when(s.isin("complete", "completed", "done", "success", "succeeded"), "ok")
+    return F.coalesce(by_word, F.when(done & good, "ok").when(done & ~good & has_error, "failed"))
 
 
 def next_job(jobs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import catalog as C
 from ..operators import filters, history, lifecycle, search
-from ..sources import acquire, payloads
+from ..sources import acquire, parsers, payloads
 
 NOW = "2025-06-01T00:00:00Z"
 WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -587,6 +587,41 @@ def normalise_payload(spark, d):
     return out
 
 
+@query("SELECT doc_id, CASE WHEN m IN ('application/pdf', 'application/x-pdf', 'application/msword', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'text/html', 'application/xhtml+xml') THEN true WHEN starts_with(m, 'text/') THEN false ELSE true END AS accepted FROM (SELECT doc_id, split_part(lower(trim(coalesce(mime_type, ''))), ';', 1) AS m FROM documents)")
+def parser_input_gate(spark, d):
+    return read(spark, d, "documents").select("doc_id", parsers.accepts(F.lit(""), F.col("mime_type")).alias("accepted"))
+
+
+@query("SELECT ir_id, r.ref AS ref, CASE WHEN lower(r.ref) LIKE '%.png' THEN 'image/png' WHEN lower(r.ref) LIKE '%.webp' THEN 'image/webp' WHEN lower(r.ref) LIKE '%.gif' THEN 'image/gif' ELSE 'image/jpeg' END AS mime_type FROM (SELECT ir_id, unnest(artefact_refs) AS r FROM document_irs)")
+def image_types(spark, d):
+    refs = read(spark, d, "document_irs").select("ir_id", F.explode("artefact_refs").alias("r"))
+    return refs.select("ir_id", "r.ref", parsers.image_type(F.col("r.ref")).alias("mime_type"))
+
+
+@query(f"SELECT ir_id, '## ' || {strip_sql('b.text')} AS text, b.page AS page FROM (SELECT ir_id, unnest(list_filter(text_blocks, lambda x: x.kind = 'heading')) AS b FROM document_irs) WHERE {strip_sql('b.text')} <> ''")
+def toc_headings(spark, d):
+    irs = read(spark, d, "document_irs")
+    toc = F.transform(F.filter("text_blocks", lambda b: b["kind"] == "heading"), lambda b: F.struct(b["text"].alias("title"), F.lit(2).alias("level"), b["page"].alias("page_id")))
+    payload = F.to_json(F.struct(F.struct(toc.alias("table_of_contents")).alias("metadata")))
+    return irs.select("ir_id", F.explode(parsers.toc_blocks(payload)).alias("b")).select("ir_id", "b.text", "b.page")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'memory' WHEN 1 THEN 'not_found' WHEN 2 THEN 'timeout' WHEN 3 THEN 'busy' ELSE 'other' END AS error_kind, 'j' || event_id AS job_id, CASE event_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'ok' WHEN 2 THEN 'ok' END AS ended FROM events")
+def service_answers(spark, d):
+    k, m = F.col("event_id") % 5, F.col("event_id") % 4
+    message = F.when(k == 0, "CUDA out of memory").when(k == 1, "status 404 here").when(k == 2, "ReadTimeout").when(k == 3, "HTTP 429").otherwise("odd")
+    job = F.to_json(F.struct(F.struct(F.concat(F.lit("j"), F.col("event_id")).alias("request_id")).alias("result")))
+    status = F.when(m == 0, " Canceled").when(m == 1, "DONE").otherwise("waiting")
+    ended = C.async_status(status, m >= 2, m == 2, F.lit(False))
+    return read(spark, d, "events").select("event_id", parsers.error_kind(message).alias("error_kind"), parsers.job_id(job).alias("job_id"), ended.alias("ended"))
+
+
+@query("SELECT ir_id, pos, page FROM (SELECT *, row_number() OVER (PARTITION BY ir_id ORDER BY pos) AS n, coalesce(sum(length(coalesce(text, ''))) OVER (PARTITION BY ir_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT ir_id, unnest(range(len(text_blocks)))::INT AS pos, unnest(text_blocks, recursive := true) FROM document_irs)) WHERE before < 1500 AND n <= 6")
+def pages_until_enough(spark, d):
+    b = read(spark, d, "document_irs").select(F.col("ir_id").alias("doc"), F.posexplode("text_blocks").alias("pos", "b"))
+    return parsers.pages_until(b.select("doc", F.col("pos").alias("page"), "b.text", F.col("b.page").alias("real")), 1_500, 6).select(F.col("doc").alias("ir_id"), F.col("page").alias("pos"), F.col("real").alias("page"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     own = getattr(shared_dir, "own", None)
     if own is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = shared_dir.own = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, own, True)
     return own
 
 

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 WS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
+#: The same characters as text, made from their ranges.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    """Without Unicode white space at both ends. It looks at the ends alone, so long texts cost no more than short ones."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def parts(c: Column) -> Column:

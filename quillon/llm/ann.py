@@ -4,6 +4,8 @@ A vector's two halves are quantised apart, each to the nearest of K centroids, s
 collection. A query visits cells in order of the summed distance of its halves to the two centroids, which a heap yields one by one,
 and the entries of the visited cells are reranked by their exact cosine.
 
+Where the k nearest may be far away, no bound on the cells excludes any: such a search (probes None) meets the whole collection in blocks.
+
 Only the centroids come from a sample (at most `sample_rows` vectors of a collection); every vector is indexed. Equal vectors of a
 collection form one class: a class is searched once and stands in the index with its first k + 1 ids, which is all that any top k can show
 of it, so copies of one vector cost nothing.
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from ..shared import bounded, table
 
 CELL_ROWS = 128  # entries that an average cell should have
+BLOCK_ROWS, BLOCK_QUERIES = 65_536, 131_072  # entries and queries that meet in one task of an exact search
 
 
 def unit_vectors(df: DataFrame, extra: str | None = None) -> DataFrame:
@@ -134,6 +137,18 @@ def _cells(df: DataFrame, books: dict, most: int, radius: float) -> DataFrame:
     return df.mapInArrow(run, f"{kinds}, cells array<int>")
 
 
+def _blocks(queries: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries and entries (coll, cls, vec) with coll's (cell, part) such that each query meets each entry of its collection once: cells
+    are blocks of about BLOCK_ROWS entries, parts blocks of about BLOCK_QUERIES queries."""
+    n = queries.groupBy("coll").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))
+    n = bounded(table(n.join(entries.groupBy("coll").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "coll"), "blocks"))
+    own, all_ = (lambda c: F.pmod(F.xxhash64("cls"), F.col(c)).cast("int")), (lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)))
+    visits = queries.join(n, "coll").withColumn("part", own("parts")).withColumn("cell", all_("blocks"))
+    targets = entries.join(n, "coll").withColumn("cell", own("blocks")).withColumn("part", all_("parts"))
+    # with names of their own, as both sides come from one table
+    return visits.select(*[F.col(c).alias(c) for c in ("coll", "cls", "vec", "cell", "part")]), targets.select("coll", "cell", "cls", "vec", "part")
+
+
 def _block(s: np.ndarray, n: int, least: float, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row (from `at` on), column and value of each row's n greatest values, and of those as great as the least of them, that reach `least`."""
     if s.shape[1] > n:
@@ -144,36 +159,43 @@ def _block(s: np.ndarray, n: int, least: float, at: int) -> tuple[np.ndarray, np
     return i + at, j, s[i, j]
 
 
-def top_similar(vectors: DataFrame, k: int = 10, probes: int = 3, radius: float = 0.5, min_cosine: float | None = None, sample_rows: int = 8192, cell_rows: int = 4096, only_queries: bool = False) -> DataFrame:
+def top_similar(vectors: DataFrame, k: int = 10, probes: int | None = 3, radius: float = 0.5, min_cosine: float | None = None, sample_rows: int = 8192, cell_rows: int = 4096, only_queries: bool = False) -> DataFrame:
     """(query, id, cosine, rank): for each query vector the k most similar stored vectors of its collection, rank from 1.
 
     vectors: (id, coll, q, vec) of unit_vectors(); q is false for stored vectors and true for those that only ask. With only_queries the
     stored vectors don't ask. An id never meets itself; an id that occurs with several vectors counts with the least of them. Ties go
     to the lesser id. With min_cosine only neighbours at least so similar are kept. Cells of over cell_rows entries are
-    split over several tasks. An empty input gives no rows.
+    split over several tasks. With probes None every query meets its whole collection, in blocks, and the result is exact. An empty input
+    gives no rows.
     """
     one = vectors.groupBy("coll", "q", "id").agg(F.min("vec").alias("vec"))
     one = table(one.withColumn("cls", F.expr("unhex(md5(vec))")), "vectors")
     stored = one.where("NOT q")
-    books = codebooks(stored, sample_rows)
     w = Window.partitionBy("coll", "cls").orderBy("id")
     heads = stored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)  # the limit is applied before the shuffle, too
     heads = heads.groupBy("coll", "cls").agg(F.min("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids"))
-    entries = table(_cells(heads, books, 1, 0.0).withColumn("cell", F.col("cells")[0]).drop("cells"), "entries")
+    if probes is None:
+        entries = table(heads, "entries")
+    else:
+        books = codebooks(stored, sample_rows)
+        entries = table(_cells(heads, books, 1, 0.0).withColumn("cell", F.col("cells")[0]).drop("cells"), "entries")
     asking = one.where("q") if only_queries else one
     new = one.where("q").groupBy("coll", "cls").agg(F.min("vec").alias("vec")).join(entries.select("coll", "cls"), ["coll", "cls"], "left_anti")
     queries = entries.select("coll", "cls", "vec")
     queries = queries.join(one.where("q").select("coll", "cls"), ["coll", "cls"], "left_semi") if only_queries else queries
 
-    visits = _cells(queries.unionByName(new), books, probes, radius).select("coll", "cls", "vec", F.explode("cells").alias("cell"))
-    targets = entries.select("coll", "cell", "cls", "vec")
-    large = bounded(table(entries.groupBy("coll", "cell").count().where(F.col("count") > cell_rows).select("coll", "cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts")), "large-cells"))
-    if large.isEmpty():
-        visits, targets = visits.withColumn("part", F.lit(0)), targets.withColumn("part", F.lit(0))
+    if probes is None:
+        visits, targets = _blocks(queries.unionByName(new), entries.select("coll", "cls", "vec"))
     else:
-        parts = F.coalesce("parts", F.lit(1))
-        visits = visits.join(large, ["coll", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-        targets = targets.join(large, ["coll", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).drop("parts")
+        visits = _cells(queries.unionByName(new), books, probes, radius).select("coll", "cls", "vec", F.explode("cells").alias("cell"))
+        targets = entries.select("coll", "cell", "cls", "vec")
+        large = bounded(table(entries.groupBy("coll", "cell").count().where(F.col("count") > cell_rows).select("coll", "cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts")), "large-cells"))
+        if large.isEmpty():
+            visits, targets = visits.withColumn("part", F.lit(0)), targets.withColumn("part", F.lit(0))
+        else:
+            parts = F.coalesce("parts", F.lit(1))
+            visits = visits.join(large, ["coll", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+            targets = targets.join(large, ["coll", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).drop("parts")
 
     least = -2.0 if min_cosine is None else min_cosine - 1e-5
 
@@ -183,7 +205,8 @@ def top_similar(vectors: DataFrame, k: int = 10, probes: int = 3, radius: float
         if len(p) and len(e):
             x = np.frombuffer(b"".join(p["vec"].to_pylist()), dtype=np.float32).reshape(len(p), -1)
             y = np.frombuffer(b"".join(e["vec"].to_pylist()), dtype=np.float32).reshape(len(e), -1).astype(np.float64)
-            i, j, s = (np.concatenate(z) for z in zip(*(_block(x[at : at + 1024].astype(np.float64) @ y.T, k + 1, least, at) for at in range(0, len(x), 1024)), strict=True))
+            step = max(1, min(1024, (1 << 22) // len(y)))
+            i, j, s = (np.concatenate(z) for z in zip(*(_block(x[at : at + step].astype(np.float64) @ y.T, k + 1, least, at) for at in range(0, len(x), step)), strict=True))
         cols = [p["coll"].combine_chunks().take(pa.array(i)), p["cls"].combine_chunks().take(pa.array(i)), e["cls"].combine_chunks().take(pa.array(j)), pa.array(np.round(s, 9))]
         return pa.table(cols, names=["coll", "cls", "other", "cosine"])
 

@@ -33,7 +33,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_requests_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 10 most similar stored documents of every search request."""
-    return ann.top_similar(_vectors(spark, d), k=10, probes=48, radius=4.0, only_queries=True)
+    return ann.top_similar(_vectors(spark, d), k=10, probes=None, only_queries=True)
 
 
 def p1_embeddings_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +43,7 @@ def p1_embeddings_topk(spark: SparkSession, d: str) -> DataFrame:
     base = ann.unit_vectors(e.select("id", F.lit("all").alias("coll"), dim, "embedding"))
     asking = base.where(F.col("id").cast("bigint") % 100 == 0)
     both = base.withColumn("q", F.lit(False)).union(asking.withColumn("q", F.lit(True)))
-    top = ann.top_similar(both, k=11, probes=64, radius=4.0, only_queries=True).where("query <> id")
+    top = ann.top_similar(both, k=11, probes=None, only_queries=True).where("query <> id")
     rank = F.row_number().over(ann.Window.partitionBy("query").orderBy("rank"))
     return top.select(F.col("query").cast("bigint").alias("query"), F.col("id").cast("bigint").alias("id"), "cosine", rank.alias("rank")).where("rank <= 10")
 

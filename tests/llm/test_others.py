@@ -177,3 +177,44 @@ def test_segmentation_is_the_best_of_all():
                 if all(spans[a].end <= spans[b].start for a, b in zip(p, p[1:], strict=False)):
                     best = max(best, value(p))
         assert value(pii.best_segmentation("", spans, feats, w)) == pytest.approx(best)
+
+
+def test_top_of_large_tables_is_exact(spark, tmp_path):
+    """20,000 rows, of which an index would make 144 cells."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(20_050, 16)).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+
+    def best(asking, own):
+        s = asking @ unit[:20_000].T
+        if own is not None:
+            s[np.arange(len(own)), own] = -9
+        return [set(np.argpartition(-row, 10)[:10].tolist()) for row in s]
+
+    kinds = "coll string, n bigint, id string, embedding array<float>"
+    rows = spark.createDataFrame([("c", i, f"v{i:05}", v.tolist()) for i, v in enumerate(x)], kinds).cache()
+    old, new = rows.where("n < 20000"), rows.where("n >= 20000")
+    old.select(F.col("n").alias("vec_id"), "embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    old.select("id", F.to_json(F.struct(F.col("coll").alias("collection"))).alias("metadata"), "embedding").write.parquet(f"{tmp_path}/stored_documents.parquet")
+    new.select(F.col("id").alias("request_id"), F.col("coll").alias("collection"), F.col("embedding").alias("query_vector")).write.parquet(f"{tmp_path}/search_requests.parquet")
+    spark.sql("SELECT 'c' AS name, 16 AS embedding_dim").write.parquet(f"{tmp_path}/collection_specs.parquet")
+    got = {}
+    for t in queries.p1_embeddings_topk(spark, str(tmp_path)).collect() + queries.p1_requests_topk(spark, str(tmp_path)).collect():
+        got.setdefault(t["query"], set()).add(t.id)
+    asked = np.arange(0, 20_000, 100)
+    assert [got[i] for i in asked.tolist()] == best(unit[asked], asked)
+    assert [{int(i[1:]) for i in got[f"v{i:05}"]} for i in range(20_000, 20_050)] == best(unit[20_000:], None)
+
+
+def test_blocks_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 50)
+    x = np.random.default_rng(9).normal(size=(300, 8))
+    v = ann.unit_vectors(vectors(spark, [(f"v{i:03}", "c", 8, e.tolist(), False) for i, e in enumerate(x)]), "q")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    s = unit @ unit.T
+    np.fill_diagonal(s, -9)
+    got = {}
+    for t in ann.top_similar(v, 5, probes=None).collect():
+        got.setdefault(t["query"], []).append((t["rank"], t.id))
+    assert {q: [i for _, i in sorted(n)] for q, n in got.items()} == {f"v{i:03}": [f"v{j:03}" for j in np.argsort(-s[i])[:5]] for i in range(300)}

@@ -140,6 +140,14 @@ def test_personal_data(pii_model, text, found):
     assert {(s.kind, text[s.start : s.end]) for s in pii.entities(text, *pii_model)} == found
 
 
+@pytest.mark.parametrize("before", ["Das war die letzte Version. ", "We asked Mr. ", "It went to Prof. ", "See node QX7 ", "See QX_B ", "Filed under A1-"])
+def test_names_after_capitals(pii_model, before):
+    text = f"{before}Brivik Sarnmere about it."
+    assert ("name", "Brivik Sarnmere") in {(s.kind, text[s.start : s.end]) for s in pii.candidates(text, pii_model[0])}
+    if before[-1] == " ":
+        assert pii.redacted(text, pii.entities(text, *pii_model)) == f"{before}[NAME] about it."
+
+
 def test_redaction_keeps_the_rest(pii_model):
     text = "Ask Dr Torsel Yarrwick about it: 07700 900 160!"
     assert pii.redacted(text, pii.entities(text, *pii_model)) == "Ask Dr [NAME] about it: [PHONE]!"

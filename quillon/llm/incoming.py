@@ -4,7 +4,8 @@ The history's index holds, for each distinct sequence of words, a fixed number o
 with L words, L // 5 segments of five words each, evenly spaced, so start and number follow from L. Of two texts of about the same length and
 likeness 0.5 or more on three-word runs, each has lost at most a third of its n runs to edits. One edited word takes three runs and touches one
 segment, two adjacent ones take four and touch two at most: no more than n / 6 of the L / 5 segments are touched, so some stay whole and occur
-as substrings of the other text. A batch text probes its five-word substrings; candidates are verified by bounded edit distance and,
+as substrings of the other text. A batch text probes its five-word substrings; hits are dropped only where the numbers of distinct runs and
+bitmaps of their hashes prove a likeness below the threshold; the others are verified by bounded edit distance and,
 where whole sentences moved or were added, by the likeness itself; then the batch's own segments are appended.
 """
 
@@ -19,10 +20,9 @@ from pyspark.sql import functions as F
 
 from ..shared import table
 from . import words as W
-from .neardup import RADIUS, fingerprints
 
 SEGMENT, SHINGLE = 5, 3
-INDEX = "cls binary, first bigint, words int, low bigint, high bigint, segments array<bigint>"
+INDEX = "cls binary, first bigint, runs int, bits binary, segments array<bigint>"
 
 
 def most_edits(n_words: int) -> int:
@@ -36,34 +36,59 @@ def segment_starts(n_words: int) -> np.ndarray:
     return (np.arange(m) * (n_words - SEGMENT)) // max(m - 1, 1)
 
 
+def bitmap(runs: np.ndarray) -> bytes:
+    """One bit for each hash modulo the size, a power of two of at least twice as many bits as there are runs, and 64 at least."""
+    size = max(64, 1 << (2 * len(runs) - 1).bit_length())
+    out = np.zeros(size, dtype=np.uint8)
+    out[(runs & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_be_alike(a: list[bytes], b: list[bytes], runs_a: np.ndarray, runs_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the bitmaps leave room for the likeness: each bit of one that the other lacks stands for a run at least that the other lacks.
+    Never false for texts whose likeness is at least the threshold."""
+    out = np.zeros(len(a), dtype=bool)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for la, lb in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == (la, lb)).all(axis=1))
+        least = min(la, lb)  # the larger is folded: sizes are powers of two
+        x, y = (np.bitwise_or.reduce(np.frombuffer(b"".join(z[i] for i in at), dtype=np.uint64).reshape(len(at), -1, least // 8), axis=1) for z in (a, b))
+        na, nb = runs_a[at].astype(np.int64), runs_b[at].astype(np.int64)
+        both = np.minimum(na - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+        out[at] = both * (1 + threshold) >= threshold * (na + nb) - 1e-6
+    return out
+
+
 def sketch(rows: DataFrame, min_words: int, probes: bool) -> DataFrame:
-    """rows: (uid, ord, text). Adds class key, words, fingerprint, segments and, where asked, the substrings to probe."""
+    """rows: (uid, ord, text). Adds class key, number and bitmap of distinct runs, segments and, where asked, the substrings to probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            keep, keys, _, low, high = fingerprints(texts, max(min_words, SEGMENT))
-            w, at = W.word_hashes([texts[i] for i in keep])
+            w, at = W.word_hashes(texts)
+            keep = [i for i in range(len(texts)) if at[i + 1] - at[i] >= max(min_words, SEGMENT)]
+            keys = [W.text_key(w[at[i] : at[i + 1]]) for i in keep]
+            threes = W.ngram_hashes(w, SHINGLE)
+            runs = [np.unique(threes[at[i] : at[i + 1] - SHINGLE + 1]) for i in keep]
             grams = W.ngram_hashes(w, SEGMENT).view(np.int64)
-            n = np.diff(at)
-            segments = [grams[at[i] + segment_starts(int(n[i]))] for i in range(len(keep))]
-            wanted = [np.unique(grams[at[i] : at[i + 1] - SEGMENT + 1]) if probes else np.zeros(0, dtype=np.int64) for i in range(len(keep))]
+            segments = [grams[at[i] + segment_starts(int(at[i + 1] - at[i]))] for i in keep]
+            wanted = [np.unique(grams[at[i] : at[i + 1] - SEGMENT + 1]) if probes else np.zeros(0, dtype=np.int64) for i in keep]
             take = pa.array(keep, pa.int64())
-            cols = [b.column(0).take(take), b.column(1).take(take), pa.array(keys, pa.binary()), pa.array(n.astype(np.int32)), pa.array(low), pa.array(high)]
+            cols = [b.column(0).take(take), b.column(1).take(take), pa.array(keys, pa.binary()), pa.array([len(x) for x in runs], pa.int32()), pa.array([bitmap(x) for x in runs], pa.binary())]
             for lists in (segments, wanted):
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64))))
-            yield pa.RecordBatch.from_arrays(cols, names=["uid", "ord", "cls", "words", "low", "high", "segments", "probes"])
+            yield pa.RecordBatch.from_arrays(cols, names=["uid", "ord", "cls", "runs", "bits", "segments", "probes"])
 
     return rows.select("uid", "ord", "text").where("text IS NOT NULL").mapInArrow(
-        run, "uid string, ord bigint, cls binary, words int, low bigint, high bigint, segments array<bigint>, probes array<bigint>"
+        run, "uid string, ord bigint, cls binary, runs int, bits binary, segments array<bigint>, probes array<bigint>"
     )
 
 
 def build_index(sketched: DataFrame) -> DataFrame:
     """The segment index of a history, one row for each distinct sequence of words: INDEX. first: the least ord at which it was accepted."""
     return sketched.groupBy("cls").agg(
-        F.min("ord").alias("first"), F.min_by("uid", F.struct("ord", "uid")).alias("uid"), *[F.first(c).alias(c) for c in ("words", "low", "high", "segments")]
+        F.min("ord").alias("first"), F.min_by("uid", F.struct("ord", "uid")).alias("uid"), *[F.first(c).alias(c) for c in ("runs", "bits", "segments")]
     )
 
 
@@ -73,13 +98,13 @@ def append(index: DataFrame, sketched: DataFrame) -> DataFrame:
     return index.unionByName(new.join(index, "cls", "left_anti"))
 
 
-def candidates(probing: DataFrame, index: DataFrame, hot_rows: int = 2_000, salts: int = 64) -> DataFrame:
-    """Distinct (cls, ord, other) with a shared segment, `other` accepted before `ord`, and fingerprints within the radius.
+def candidates(probing: DataFrame, index: DataFrame, hot_rows: int = 2_000, salts: int = 64, threshold: float = 0.5) -> DataFrame:
+    """Distinct (cls, ord, other) with a shared segment, `other` accepted before `ord`, and bitmaps that leave room for the likeness.
 
-    probing: (cls, ord, words, low, high, probes). Segments that over hot_rows sequences of the index share are spread over `salts` tasks.
+    probing: (cls, ord, runs, bits, probes), ord unique. Segments that over hot_rows sequences of the index share are spread over `salts` tasks.
     """
-    segments = index.select(F.col("cls").alias("other"), "first", F.col("words").alias("words_2"), F.col("low").alias("low_2"), F.col("high").alias("high_2"), F.explode(F.array_distinct("segments")).alias("segment"))
-    probes = probing.select("cls", "ord", "words", "low", "high", F.explode("probes").alias("segment"))
+    segments = index.select(F.col("cls").alias("other"), "first", F.col("runs").alias("runs_2"), F.explode(F.array_distinct("segments")).alias("segment"))
+    probes = probing.select("ord", "runs", F.explode("probes").alias("segment"))
     hot = table(segments.groupBy("segment").count().where(F.col("count") > hot_rows).select("segment"), "hot")
     salt: list[Column] = []
     if not hot.isEmpty():
@@ -88,8 +113,18 @@ def candidates(probing: DataFrame, index: DataFrame, hot_rows: int = 2_000, salt
         probes = probes.join(hot, "segment", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
         segments, probes = segments.withColumn("salt", F.col("salt").cast("int")), probes.withColumn("salt", F.col("salt").cast("int"))
         salt = ["salt"]
-    near = F.expr(f"first < ord AND cls <> other AND bit_count(low ^ low_2) + bit_count(high ^ high_2) <= {RADIUS} AND words <= 3 * words_2 + 6 AND words_2 <= 3 * words + 6")
-    return probes.join(segments, ["segment", *salt]).where(near).select("cls", "ord", "other").distinct()
+    near = F.expr(f"first < ord AND runs_2 >= {threshold} * runs - 1e-6 AND runs >= {threshold} * runs_2 - 1e-6")
+    hits = probes.join(segments, ["segment", *salt]).where(near).select("ord", "other")
+    hits = hits.join(index.select(F.col("cls").alias("other"), F.col("runs").alias("runs_2"), F.col("bits").alias("bits_2")), "other").dropDuplicates(["other", "ord"])
+    hits = hits.join(probing.select("ord", "cls", "runs", "bits"), "ord").where("cls <> other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs, runs_2 = (b.column(c).to_numpy() for c in ("runs", "runs_2"))
+            keep = may_be_alike(b.column("bits").to_pylist(), b.column("bits_2").to_pylist(), runs, runs_2, threshold)
+            yield b.select(["cls", "ord", "other"]).filter(pa.array(keep))
+
+    return hits.select("cls", "ord", "other", "runs", "runs_2", "bits", "bits_2").mapInArrow(run, "cls binary, ord bigint, other binary")
 
 
 def verified(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -125,10 +160,10 @@ def seen_before(history: DataFrame, incoming: DataFrame, threshold: float = 0.5,
     index = table(append(table(build_index(s_old), "history"), s_new), "index")
 
     first = index.select("cls", "first", "uid")
-    known = s_new.select("cls", "ord", "uid", "words", "low", "high", "probes").join(first.select("cls", "first", F.col("uid").alias("first_uid")), "cls")
+    known = s_new.select("cls", "ord", "uid", "runs", "bits", "probes").join(first.select("cls", "first", F.col("uid").alias("first_uid")), "cls")
     same = known.where("first < ord").select("ord", F.lit("near").alias("kind"))
     fresh = known.where("first = ord")
-    pairs = table(candidates(fresh, index), "candidates")
+    pairs = table(candidates(fresh, index, threshold=threshold), "candidates")
 
     needed = pairs.select(F.explode(F.array("cls", "other")).alias("cls")).distinct().join(first, "cls").select("cls", "uid")
     texts = table(needed.join(old.select("uid", "text").union(new.select("uid", "text")), "uid").groupBy("cls").agg(F.first("text").alias("text")), "texts")

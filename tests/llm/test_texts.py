@@ -126,6 +126,28 @@ def test_common_segments_are_salted_without_loss(spark):
     assert one == many and one
 
 
+def test_a_text_that_repeats_itself_is_seen(spark):
+    text = VOCABULARY[:20]
+    h = spark.createDataFrame([("a", " ".join(text))], "uid string, text string")
+    n = spark.createDataFrame([("b", 1, " ".join(text * 4))], "uid string, ord bigint, text string")
+    assert W.likeness(text, text * 4) == 0.9
+    assert [(r.ord, r.kind) for r in incoming.seen_before(h, n).collect()] == [(1, "near")]
+
+
+def test_no_hit_at_the_threshold_is_lost(spark):
+    """Pairs at a likeness of 0.5 to 0.55, which a filter by fingerprint loses now and then."""
+    old, new = [], []
+    for k in range(3_000):
+        w = [f"{k}x{i}" for i in range(60)]
+        v = w[:42] + [f"{k}z{i}" for i in range(18)]
+        assert 0.5 <= W.likeness(w, v) <= 0.55
+        old.append(" ".join(w))
+        new.append(" ".join(v))
+    h = spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(old)], "uid string, text string")
+    n = spark.createDataFrame([(f"n{i}", i, t) for i, t in enumerate(new)], "uid string, ord bigint, text string")
+    assert incoming.seen_before(h, n).count() == 3_000
+
+
 def test_append_keeps_the_first(spark):
     n = spark.createDataFrame([("a", 1, "w " * 25), ("b", 2, "w " * 25), ("c", 3, "v " * 25)], "uid string, ord bigint, text string")
     s = incoming.sketch(n, 20, False).cache()

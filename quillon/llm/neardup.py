@@ -2,7 +2,7 @@
 
 1. Texts whose words are the same in the same order form one class; a class enters the search once, however many
    copies it has.
-2. A class gets MinHash symbols of its three-word runs. Two bits of each symbol make a fingerprint, so the Hamming
+2. A class gets MinHash symbols of its three-word runs. One bit of each of 96 symbols makes a fingerprint, so the Hamming
    distance of two fingerprints grows with 1 - likeness.
 3. Whole-collection vantage trees prune nothing at a likeness of 0.5 (the search radius exceeds the spread of the
    distances), so the trees are planted in shards: classes that agree in one segment of three MinHash symbols.
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from ..shared import table
 from . import words as W
 
-SYMBOLS, ROWS, SHINGLE = 48, 3, 3
+SYMBOLS, ROWS, SHINGLE = 144, 3, 3
+HALF = 48  # bits in each half of a fingerprint
 SEGMENTS = 2 * (SYMBOLS // ROWS)  # the symbols are cut into segments twice: neighbours, and those a third of the way apart
-RADIUS = 38  # of 96 bits: unrelated texts differ in 48 +- 5, texts of likeness 0.5 in 24 +- 5
+RADIUS = 41  # of 96 bits: unrelated texts differ in 48 +- 5, texts of likeness 0.5 in 24 +- 4
 LEAF = 48
 
 
@@ -46,10 +47,9 @@ def fingerprints(texts: list[str | None], min_words: int) -> tuple[list[int], li
     m64 = W.mix(m.astype(np.uint64)).reshape(len(keep), SEGMENTS // 2, ROWS)
     m64 = np.concatenate([m64, m64.reshape(len(keep), ROWS, SEGMENTS // 2).transpose(0, 2, 1)], axis=1)
     segments = W.mix((m64 * k).sum(axis=2, dtype=np.uint64) + np.arange(SEGMENTS, dtype=np.uint64))
-    spread = W.mix(m.astype(np.uint64) + np.uint64(7))
-    place = np.uint64(1) << np.arange(SYMBOLS, dtype=np.uint64)
-    low = ((spread & np.uint64(1)) * place).sum(axis=1, dtype=np.uint64)
-    high = (((spread >> np.uint64(1)) & np.uint64(1)) * place).sum(axis=1, dtype=np.uint64)
+    bits = W.mix(m[:, : 2 * HALF].astype(np.uint64) + np.uint64(7)) & np.uint64(1)
+    place = np.uint64(1) << np.arange(HALF, dtype=np.uint64)
+    low, high = ((x * place).sum(axis=1, dtype=np.uint64) for x in (bits[:, :HALF], bits[:, HALF:]))
     return keep, [W.text_key(w[at[i] : at[i + 1]]) for i in keep], segments.view(np.int64), low.view(np.int64), high.view(np.int64)
 
 

@@ -56,6 +56,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got <= want and len(got) >= 0.995 * len(want) and len(want) > 80
 
 
+def test_pairs_at_the_threshold(spark):
+    """2,000 pairs at a likeness of 0.50 to 0.55."""
+    rows = []
+    for k in range(2_000):
+        w = [f"{k}x{i}" for i in range(60)]
+        v = w[: 41 + k % 2] + [f"{k}z{i}" for i in range(19 - k % 2)]
+        assert 0.5 <= W.likeness(w, v) <= 0.55
+        rows += [" ".join(w), " ".join(v)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "rid bigint, body string")
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(df, "rid", "body").collect()}
+    want = {(i, i + 1) for i in range(0, 4_000, 2)}
+    assert got <= want and len(got) >= 1_998
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicate_pairs(table(spark, ["x"]).limit(0), "rid", "body").count() == 0
     assert neardup.near_duplicate_groups(table(spark, ODD[:5]), "rid", "body").count() == 0

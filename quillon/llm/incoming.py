@@ -1,182 +1,236 @@
-"""New batches against everything accepted before: a segment index for edit distance over words.
-
-The history's index holds, for each distinct sequence of words, a fixed number of disjoint segments that depends on its length alone:
-with L words, L // 5 segments of five words each, evenly spaced, so start and number follow from L. Of two texts of about the same length and
-likeness 0.5 or more on three-word runs, each has lost at most a third of its n runs to edits. One edited word takes three runs and touches one
-segment, two adjacent ones take four and touch two at most: no more than n / 6 of the L / 5 segments are touched, so some stay whole and occur
-as substrings of the other text. A batch text probes its five-word substrings; hits are dropped only where the numbers of distinct runs and
-bitmaps of their hashes prove a likeness below the threshold; the others are verified by bounded edit distance and,
-where whole sentences moved or were added, by the likeness itself; then the batch's own segments are appended.
+"""New batches against everything accepted before: a stored segment index for edit distance.
+
+A text stands for its *sequence*: its distinct three-word runs in the order in which they first occur, as 32-bit hashes (two texts of 100 runs
+see a run shared that isn't with a chance of 2e-6). Repetition adds nothing to a sequence, as it adds nothing to the likeness. With sequences of
+a and b runs, s of them shared, the likeness is s / (a + b - s). Where the shared runs keep their order, the least number of insertions and deletions that
+turn one into the other is a + b - 2 s, so a likeness of t or more is the same as a distance of at most (a + b) (1 - t) / (1 + t): the bound.
+
+The index stores, for each distinct sequence, a fixed number of disjoint segments that depends on its length alone (one of five words for each
+seven, evenly spaced) by length and position, in partitions of lengths between two powers of two. A batch's sequence probes with its substrings; only
+segments of sequences whose length leaves room for the threshold are met, and the positions tell whether the pair can be within the bound. If so, it is accepted
+by bounded edit distance; if not, or beyond the bound, a block may have moved, and the likeness itself decides.
+
+Each touched segment costs three runs at least (two segments can't be touched by fewer than four adjacent words, which cost six), so of
+two sequences of which the stored one is at most 1.4 times as long as the other, some segment stays whole at a likeness of 0.5. Sequences of
+under SHORT runs store and probe each single run as well, which loses nothing at any length.
+
+A batch is accepted by reading the index and the batch alone; what it adds is appended. No text of the history is read again.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import table
+from ..shared import bounded, table
 from . import words as W
 
-SEGMENT, SHINGLE = 5, 3
-INDEX = "cls binary, first bigint, runs int, bits binary, segments array<bigint>"
+SEGMENT, SPACING, SHORT, SHINGLE = 3, 7, 36, 3  # runs of a segment (five words), words for each segment, runs of a short sequence, words of a run
+TEXTS, SEGMENTS, SPELLINGS = "cls binary, sid bigint, first bigint, length int, runs binary", "band int, segment bigint, sid bigint, first bigint, length int, start int", "key binary, first bigint"
+
+
+class Index(NamedTuple):
+    """texts: each distinct sequence and the least ord at which it was accepted; segments: its segments by length and position; spellings: the
+    least ord of each text, white space around it aside."""
 
+    texts: DataFrame
+    segments: DataFrame
+    spellings: DataFrame
 
-def most_edits(n_words: int) -> int:
-    """Edited words that a text of likeness 0.5 or more can have."""
-    return max(n_words - 2, 0) // 9
+    def append_to(self, path: str) -> None:
+        """Appends these tables to those stored below path, segments in a folder for each band of lengths."""
+        self.texts.write.mode("append").parquet(f"{path}/texts")
+        self.segments.write.mode("append").partitionBy("band").parquet(f"{path}/segments")
+        self.spellings.write.mode("append").parquet(f"{path}/spellings")
 
+    def union(self, other: Index) -> Index:
+        return Index(*(a.unionByName(b) for a, b in zip(self, other, strict=True)))
 
-def segment_starts(n_words: int) -> np.ndarray:
-    """First word of each segment of a text of n_words words."""
-    m = max(1, n_words // SEGMENT)
-    return (np.arange(m) * (n_words - SEGMENT)) // max(m - 1, 1)
 
+def stored(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.schema(kind).parquet(f"{path}/{name}") for name, kind in (("texts", TEXTS), ("segments", SEGMENTS), ("spellings", SPELLINGS))))
 
-def bitmap(runs: np.ndarray) -> bytes:
-    """One bit for each hash modulo the size, a power of two of at least twice as many bits as there are runs, and 64 at least."""
-    size = max(64, 1 << (2 * len(runs) - 1).bit_length())
-    out = np.zeros(size, dtype=np.uint8)
-    out[(runs & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").tobytes()
 
+def empty(spark: SparkSession) -> Index:
+    return Index(*(spark.createDataFrame([], kind) for kind in (TEXTS, SEGMENTS, SPELLINGS)))
 
-def may_be_alike(a: list[bytes], b: list[bytes], runs_a: np.ndarray, runs_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the bitmaps leave room for the likeness: each bit of one that the other lacks stands for a run at least that the other lacks.
-    Never false for texts whose likeness is at least the threshold."""
-    out = np.zeros(len(a), dtype=bool)
-    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
-    for la, lb in np.unique(sizes, axis=0):
-        at = np.flatnonzero((sizes == (la, lb)).all(axis=1))
-        least = min(la, lb)  # the larger is folded: sizes are powers of two
-        x, y = (np.bitwise_or.reduce(np.frombuffer(b"".join(z[i] for i in at), dtype=np.uint64).reshape(len(at), -1, least // 8), axis=1) for z in (a, b))
-        na, nb = runs_a[at].astype(np.int64), runs_b[at].astype(np.int64)
-        both = np.minimum(na - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-        out[at] = both * (1 + threshold) >= threshold * (na + nb) - 1e-6
-    return out
 
+def sequences(texts: list[str | None], min_words: int) -> tuple[list[int], list[np.ndarray]]:
+    """Of the texts with at least min_words words: their positions and sequences."""
+    w, at = W.word_hashes(texts)
+    grams = (W.ngram_hashes(w, SHINGLE) >> np.uint64(32)).astype(np.uint32)
+    keep = [i for i in range(len(texts)) if at[i + 1] - at[i] >= max(min_words, SHINGLE)]
+    out = []
+    for i in keep:
+        g = grams[at[i] : at[i + 1] - SHINGLE + 1]
+        out.append(g[np.sort(np.unique(g, return_index=True)[1])])
+    return keep, out
 
-def sketch(rows: DataFrame, min_words: int, probes: bool) -> DataFrame:
-    """rows: (uid, ord, text). Adds class key, number and bitmap of distinct runs, segments and, where asked, the substrings to probe."""
+
+def pieces(runs: list[bytes], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence's position, start, hash) of the segments, or of every substring that can equal one, and each sequence's length."""
+    n = np.array([len(r) // 4 for r in runs], dtype=np.int64)
+    flat = np.frombuffer(b"".join(runs), dtype=np.uint32).astype(np.uint64)
+    at = np.cumsum(n) - n
+    k = W.odd_constants(29, 4)
+    many = np.maximum(n - SEGMENT + 1, 0) if every else np.where(n >= SEGMENT, np.maximum((n + 2) // SPACING, 1), 0)
+    row = np.repeat(np.arange(len(n)), many)
+    no = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    start = no if every else no * (n[row] - SEGMENT) // np.maximum(many[row] - 1, 1)
+    p = at[row] + start
+    long = W.mix(flat[p] * k[0] + flat[p + 1] * k[1] + flat[p + 2] * k[2]) if len(p) else np.zeros(0, dtype=np.uint64)
+    few = np.where(n < SHORT, n, 0)
+    row_1 = np.repeat(np.arange(len(n)), few)
+    start_1 = np.arange(len(row_1)) - np.repeat(np.cumsum(few) - few, few)
+    single = W.mix(flat[at[row_1] + start_1] * k[3] + np.uint64(1)) if len(row_1) else np.zeros(0, dtype=np.uint64)
+    return np.concatenate([row, row_1]), np.concatenate([start, start_1]).astype(np.int32), np.concatenate([long, single]).view(np.int64), n.astype(np.int32)
+
+
+def sketch(rows: DataFrame, min_words: int) -> DataFrame:
+    """(ord, cls, key, length, runs) of the rows (ord, text) with at least min_words words. cls tells sequences apart, key texts without surrounding white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            w, at = W.word_hashes(texts)
-            keep = [i for i in range(len(texts)) if at[i + 1] - at[i] >= max(min_words, SEGMENT)]
-            keys = [W.text_key(w[at[i] : at[i + 1]]) for i in keep]
-            threes = W.ngram_hashes(w, SHINGLE)
-            runs = [np.unique(threes[at[i] : at[i + 1] - SHINGLE + 1]) for i in keep]
-            grams = W.ngram_hashes(w, SEGMENT).view(np.int64)
-            segments = [grams[at[i] + segment_starts(int(at[i + 1] - at[i]))] for i in keep]
-            wanted = [np.unique(grams[at[i] : at[i + 1] - SEGMENT + 1]) if probes else np.zeros(0, dtype=np.int64) for i in keep]
-            take = pa.array(keep, pa.int64())
-            cols = [b.column(0).take(take), b.column(1).take(take), pa.array(keys, pa.binary()), pa.array([len(x) for x in runs], pa.int32()), pa.array([bitmap(x) for x in runs], pa.binary())]
-            for lists in (segments, wanted):
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64))))
-            yield pa.RecordBatch.from_arrays(cols, names=["uid", "ord", "cls", "runs", "bits", "segments", "probes"])
-
-    return rows.select("uid", "ord", "text").where("text IS NOT NULL").mapInArrow(
-        run, "uid string, ord bigint, cls binary, runs int, bits binary, segments array<bigint>, probes array<bigint>"
-    )
-
-
-def build_index(sketched: DataFrame) -> DataFrame:
-    """The segment index of a history, one row for each distinct sequence of words: INDEX. first: the least ord at which it was accepted."""
-    return sketched.groupBy("cls").agg(
-        F.min("ord").alias("first"), F.min_by("uid", F.struct("ord", "uid")).alias("uid"), *[F.first(c).alias(c) for c in ("runs", "bits", "segments")]
-    )
-
-
-def append(index: DataFrame, sketched: DataFrame) -> DataFrame:
-    """The index after a batch was accepted: only the batch is read anew, sequences that were known keep their first ord."""
-    new = build_index(sketched)
-    return index.unionByName(new.join(index, "cls", "left_anti"))
-
-
-def candidates(probing: DataFrame, index: DataFrame, hot_rows: int = 2_000, salts: int = 64, threshold: float = 0.5) -> DataFrame:
-    """Distinct (cls, ord, other) with a shared segment, `other` accepted before `ord`, and bitmaps that leave room for the likeness.
-
-    probing: (cls, ord, runs, bits, probes), ord unique. Segments that over hot_rows sequences of the index share are spread over `salts` tasks.
-    """
-    segments = index.select(F.col("cls").alias("other"), "first", F.col("runs").alias("runs_2"), F.explode(F.array_distinct("segments")).alias("segment"))
-    probes = probing.select("ord", "runs", F.explode("probes").alias("segment"))
-    hot = table(segments.groupBy("segment").count().where(F.col("count") > hot_rows).select("segment"), "hot")
-    salt: list[Column] = []
-    if not hot.isEmpty():
-        hot = hot.withColumn("hot", F.lit(True))
-        segments = segments.join(hot, "segment", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("other"), F.lit(salts))).otherwise(0)).drop("hot")
-        probes = probes.join(hot, "segment", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-        segments, probes = segments.withColumn("salt", F.col("salt").cast("int")), probes.withColumn("salt", F.col("salt").cast("int"))
-        salt = ["salt"]
-    near = F.expr(f"first < ord AND runs_2 >= {threshold} * runs - 1e-6 AND runs >= {threshold} * runs_2 - 1e-6")
-    hits = probes.join(segments, ["segment", *salt]).where(near).select("ord", "other")
-    hits = hits.join(index.select(F.col("cls").alias("other"), F.col("runs").alias("runs_2"), F.col("bits").alias("bits_2")), "other").dropDuplicates(["other", "ord"])
-    hits = hits.join(probing.select("ord", "cls", "runs", "bits"), "ord").where("cls <> other")
+            texts = b.column(1).to_pylist()
+            keep, seqs = sequences(texts, min_words)
+            runs = [s.tobytes() for s in seqs]
+            keys = [xxhash.xxh3_128_digest(texts[i].strip().encode("utf-8", "surrogatepass")) for i in keep]
+            cols = [b.column(0).take(pa.array(keep, pa.int64())), pa.array(map(xxhash.xxh3_128_digest, runs), pa.binary()), pa.array(keys, pa.binary()), pa.array([len(s) for s in seqs], pa.int32()), pa.array(runs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["ord", "cls", "key", "length", "runs"])
+
+    return rows.select("ord", "text").where("ord IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "ord bigint, cls binary, key binary, length int, runs binary")
+
+
+def cut(rows: DataFrame, ids: list[str], every: bool) -> DataFrame:
+    """The segments (or, with every, all substrings) of rows (*ids, runs): (*ids, length, start, segment)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            runs, runs_2 = (b.column(c).to_numpy() for c in ("runs", "runs_2"))
-            keep = may_be_alike(b.column("bits").to_pylist(), b.column("bits_2").to_pylist(), runs, runs_2, threshold)
-            yield b.select(["cls", "ord", "other"]).filter(pa.array(keep))
+            row, start, segment, n = pieces(b.column(len(ids)).to_pylist(), every)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(ids))), pa.array(n[row]), pa.array(start), pa.array(segment)], names=[*ids, "length", "start", "segment"])
+
+    return rows.select(*ids, "runs").mapInArrow(run, ", ".join(f"{i} bigint" for i in ids) + ", length int, start int, segment bigint")
+
+
+def added(sketched: DataFrame) -> Index:
+    """The index of a batch alone, its texts written once."""
+    texts = sketched.groupBy("cls").agg(F.min("ord").alias("first"), F.first("length").alias("length"), F.first("runs").alias("runs"))
+    texts = table(texts.withColumn("sid", F.conv(F.substring(F.hex("cls"), 1, 15), 16, 10).cast("bigint")).select("cls", "sid", "first", "length", "runs"), "texts")
+    segments = cut(texts, ["sid", "first"], False).withColumn("band", F.floor(F.log2("length")).cast("int")).select("band", "segment", "sid", "first", "length", "start")
+    return Index(texts, segments, sketched.groupBy("key").agg(F.min("ord").alias("first")))
+
+
+def edits_between(x: np.ndarray, y: np.ndarray, most: float) -> int | None:
+    """Least insertions and deletions of runs that turn x into y, or None when over `most`; no run occurs twice in either.
 
-    return hits.select("cls", "ord", "other", "runs", "runs_2", "bits", "bits_2").mapInArrow(run, "cls binary, ord bigint, other binary")
+    The longest common subsequence of such sequences is the longest increasing one of y's places in x.
+    """
+    if abs(len(x) - len(y)) > most:
+        return None
+    order = np.argsort(x)
+    at = np.minimum(np.searchsorted(x, y, sorter=order), len(x) - 1)
+    place = order[at]
+    place = place[x[place] == y]
+    if len(x) + len(y) - 2 * len(place) > most:
+        return None
+    tails: list[int] = []
+    for p in place.tolist():
+        k = bisect_left(tails, p)
+        tails[k : k + 1] = [p]
+    d = len(x) + len(y) - 2 * len(tails)
+    return d if d <= most else None
+
+
+def likeness(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 0.0
+
+
+def hits(probing: DataFrame, segments: DataFrame, threshold: float, hot_rows: int = 2_000, salts: int = 64) -> DataFrame:
+    """Distinct (ord, sid, near): a stored sequence accepted before `ord` that shares a segment with it and has a fitting length; near: whether some
+    shared segment stands where a distance within the bound leaves it.
+
+    probing: (ord, runs). Segments that over hot_rows sequences share, which a sixteenth of them tells well enough, are spread over `salts` tasks.
+    """
+    probes = cut(probing, ["ord"], True).withColumnsRenamed({"length": "b", "start": "q"})
+    frequent = segments.where("pmod(sid, 16) = 0").groupBy("segment").count().where(F.col("count") > hot_rows / 16).select("segment")
+    frequent = table(frequent, "hot")
+    on = ["segment"]
+    if not frequent.isEmpty():
+        frequent = bounded(frequent).withColumn("hot", F.lit(True))
+        segments = segments.join(frequent, "segment", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(salts))).otherwise(0).cast("int")).drop("hot")
+        probes = probes.join(frequent, "segment", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+        on = ["segment", "salt"]
+    fits = F.expr(f"first < ord AND length >= {threshold} * b - 1e-6 AND b >= {threshold} * length - 1e-6")
+    shift = F.abs(F.col("q") - F.col("start")) + F.abs((F.col("b") - F.col("q")) - (F.col("length") - F.col("start")))
+    near = shift <= (F.col("length") + F.col("b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return probes.join(segments, on).where(fits).groupBy("ord", "sid").agg(F.max(near).alias("near"))
 
 
 def verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (key, text_a, text_b) the key and edits of those near each other; edits: word edits where they are within the bound, else null."""
+    """Of pairs (ord, near, runs, runs_2) those alike: (ord, edits), edits null where only the likeness tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = b.to_pydict()
             hit, edits = [], []
-            for i in range(b.num_rows):
-                x, y = W.words(c["text_a"][i]), W.words(c["text_b"][i])
-                d = W.bounded_edit_distance(x, y, most_edits(min(len(x), len(y))) // 2)
-                # d edits spoil at most 3 d runs on either side, so few edits are enough where no run occurs twice
-                if d is not None and len(set(zip(x, x[1:], x[2:]))) == len(x) - 2 and (len(x) - 2 - 3 * d) >= threshold * (len(x) - 2 + 3 * d) or W.likeness(x, y, SHINGLE) >= threshold:
+            for i, (near, p, q) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                x, y = np.frombuffer(p, dtype=np.uint32), np.frombuffer(q, dtype=np.uint32)
+                d = edits_between(x, y, (len(x) + len(y)) * (1 - threshold) / (1 + threshold) + 1e-6) if near else None
+                if d is not None or likeness(x, y) >= threshold:
                     hit.append(i)
                     edits.append(d)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit, pa.int64())), pa.array(edits, pa.int32())], names=["key", "edits"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit, pa.int64())), pa.array(edits, pa.int32())], names=["ord", "edits"])
 
-    return pairs.select("key", "text_a", "text_b").mapInArrow(run, "key binary, edits int")
+    return pairs.select("ord", "near", "runs", "runs_2").mapInArrow(run, "ord bigint, edits int")
 
 
-def seen_before(history: DataFrame, incoming: DataFrame, threshold: float = 0.5, min_words: int = 20) -> DataFrame:
-    """(ord, kind) of the incoming rows whose text was accepted before, in history or in an incoming row of lower ord.
+def accept(index: Index, batch: DataFrame, threshold: float = 0.5, min_words: int = 20, **how) -> tuple[DataFrame, Index]:
+    """(verdicts, additions): what was seen before in the index or in a row of lower ord of the batch, and what to append to the index.
 
-    history: (uid, text); incoming: (uid, ord, text), ord and uid unique. kind is `exact` when an earlier text is equal but for surrounding
-    white space, else `near` when the likeness to an earlier one is at least the threshold. Null texts and texts of fewer than
-    min_words words are never reported and match nothing; repeated history rows count once.
+    batch: (ord, text). verdicts: (ord, kind, edits) with a row for each ord seen before. kind is `exact` when an earlier text is equal but for surrounding white space, else
+    `near` when the likeness to an earlier one is at least the threshold; edits is the least number of inserted and deleted runs to an earlier
+    text where the edit distance tells, 0 for the same sequence, null where only a moved block's likeness does. Null texts, null ords and texts of fewer
+    than min_words words are never reported and match nothing. Partitions of lengths that the batch can't meet are not read.
     """
-    apart = F.hex(F.xxhash64("text"))  # an id may come with several texts
-    old = history.select(F.concat(F.lit("h"), F.col("uid"), apart).alias("uid"), F.lit(-1).cast("bigint").alias("ord"), "text")
-    new = incoming.select(F.concat(F.lit("n"), F.col("uid")).alias("uid"), F.col("ord").cast("bigint").alias("ord"), "text")
-    s_old, s_new = sketch(old, min_words, False), table(sketch(new, min_words, True), "incoming")
-    index = table(append(table(build_index(s_old), "history"), s_new), "index")
-
-    first = index.select("cls", "first", "uid")
-    known = s_new.select("cls", "ord", "uid", "runs", "bits", "probes").join(first.select("cls", "first", F.col("uid").alias("first_uid")), "cls")
-    same = known.where("first < ord").select("ord", F.lit("near").alias("kind"))
-    fresh = known.where("first = ord")
-    pairs = table(candidates(fresh, index, threshold=threshold), "candidates")
-
-    needed = pairs.select(F.explode(F.array("cls", "other")).alias("cls")).distinct().join(first, "cls").select("cls", "uid")
-    texts = table(needed.join(old.select("uid", "text").union(new.select("uid", "text")), "uid").groupBy("cls").agg(F.first("text").alias("text")), "texts")
-    a, b = texts.select("cls", F.col("text").alias("text_a")), texts.select(F.col("cls").alias("other"), F.col("text").alias("text_b"))
-    near_cls = verified(pairs.join(a, "cls").join(b, "other").select(F.col("cls").alias("key"), "text_a", "text_b"), threshold).select(F.col("key").alias("cls")).distinct()
-    near = near_cls.join(fresh.select("cls", "ord"), "cls").select("ord", F.lit("near").alias("kind"))
-
-    def stripped(c: str) -> Column:
-        return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-    # equal but for white space: least ord of each stripped text; only texts that an incoming row has take part
-    key = [F.xxhash64(stripped("text")).alias("k1"), F.md5(stripped("text")).alias("k2")]
-    mine = new.join(s_new.select("uid"), "uid", "left_semi").select("ord", *key)
-    everything = old.select("ord", *key).union(mine.select("ord", "k1", "k2")).groupBy("k1", "k2").agg(F.min("ord").alias("least"))
-    exact = mine.join(everything, ["k1", "k2"]).where("least < ord").select("ord", F.lit("exact").alias("kind"))
-    return same.union(near).union(exact).groupBy("ord").agg(F.min("kind").alias("kind"))
+    s = table(sketch(batch, min_words), "batch")
+    new = added(s)
+    known = table(index.texts.select("cls", "first").join(bounded(new.texts.select("cls")), "cls", "left_semi"), "known")
+    texts = new.texts.join(known, "cls", "left_anti")
+    segments = new.segments.join(known.select(F.conv(F.substring(F.hex("cls"), 1, 15), 16, 10).cast("bigint").alias("sid")), "sid", "left_anti")
+    spelt = index.spellings.join(bounded(new.spellings.select("key")), "key", "left_semi")
+    additions = Index(table(texts, "new-texts"), table(segments.select(*new.segments.columns), "new-segments"), table(new.spellings.join(spelt.select("key"), "key", "left_anti"), "new-spellings"))
+
+    rows = s.join(known.unionByName(additions.texts.select("cls", "first")).groupBy("cls").agg(F.min("first").alias("first")), "cls")
+    same = rows.where("first < ord").select("ord", F.lit("near").alias("kind"), F.lit(0).alias("edits"))
+    fresh = table(rows.where("first = ord").select("ord", "runs", "length"), "fresh")
+    low, high = fresh.agg(F.min("length"), F.max("length")).first()
+    old = index.segments.where(f"band BETWEEN {int(np.log2(max(low * threshold, 1)))} AND {int(np.log2(high / threshold))}") if low is not None else index.segments
+    pairs = table(hits(fresh.select("ord", "runs"), old.select("segment", "sid", "first", "length", "start").unionByName(additions.segments.select("segment", "sid", "first", "length", "start")), threshold, **how), "hits")
+    every = index.texts.select("sid", F.col("runs").alias("runs_2")).unionByName(additions.texts.select("sid", F.col("runs").alias("runs_2")))
+    every = every.join(pairs.select("sid").distinct(), "sid", "left_semi")
+    near = verified(pairs.join(every, "sid").join(fresh.select("ord", "runs"), "ord"), threshold).select("ord", F.lit("near").alias("kind"), "edits")
+
+    least = spelt.unionByName(additions.spellings).groupBy("key").agg(F.min("first").alias("least"))
+    exact = s.select("ord", "key").join(least, "key").where("least < ord").select("ord", F.lit("exact").alias("kind"), F.lit(0).alias("edits"))
+    return same.union(near).union(exact).groupBy("ord").agg(F.min("kind").alias("kind"), F.min("edits").alias("edits")), additions
+
+
+def seed(history: DataFrame, min_words: int = 20) -> Index:
+    """The index of a history (text) accepted before any batch: its ord is -1. Repeated rows count once."""
+    index = added(sketch(history.select(F.lit(-1).cast("bigint").alias("ord"), "text"), min_words))
+    return Index(index.texts, table(index.segments, "segments"), index.spellings)
+
+
+def seen_before(history: DataFrame, incoming: DataFrame, threshold: float = 0.5, min_words: int = 20) -> DataFrame:
+    """(ord, kind) of the incoming rows (ord, text) whose text was accepted before, in history (text) or in an incoming row of lower ord: the
+    history's index, and one accept() for all batches, whose order ord keeps."""
+    new = incoming.select(F.col("ord").cast("bigint").alias("ord"), "text")
+    return accept(seed(history, min_words), new, threshold, min_words)[0].select("ord", "kind")

@@ -62,8 +62,8 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Incoming rows whose content was accepted before."""
-    old = _read(spark, d, "records").select(F.col("record_id").alias("uid"), F.col("content").alias("text"))
-    new = _read(spark, d, "incoming_batches").select(F.col("incoming_id").cast("string").alias("uid"), F.col("incoming_id").alias("ord"), F.col("content").alias("text"))
+    old = _read(spark, d, "records").select(F.col("content").alias("text"))
+    new = _read(spark, d, "incoming_batches").select(F.col("incoming_id").alias("ord"), F.col("content").alias("text"))
     return incoming.seen_before(old, new, threshold=0.5, min_words=20).withColumnRenamed("ord", "incoming_id")
 
 

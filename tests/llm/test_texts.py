@@ -131,12 +131,12 @@ def test_seen_before_equals_brute_force(spark):
 
 
 def test_common_segments_are_salted_without_loss(spark):
-    common = " ".join(VOCABULARY[:30])
+    common = " ".join(VOCABULARY[:40])
     rows = [common + " " + " ".join(random.Random(i).choices(VOCABULARY, k=20)) for i in range(60)]
-    n = spark.createDataFrame([(f"n{i}", i, t) for i, t in enumerate(rows)], "uid string, ord bigint, text string")
-    s = incoming.sketch(n, 20, True).cache()
-    i = incoming.build_index(s)
-    one, many = ({tuple(r) for r in incoming.candidates(s, i, hot, 4).collect()} for hot in (2_000, 5))
+    n = spark.createDataFrame(list(enumerate(rows)), "ord bigint, text string")
+    i = incoming.added(incoming.sketch(n, 20))
+    probing = i.texts.select(F.col("first").alias("ord"), "runs")
+    one, many = ({tuple(r) for r in incoming.hits(probing, i.segments, 0.5, hot, 4).collect()} for hot in (2_000, 5))
     assert one == many and one
 
 
@@ -162,11 +162,56 @@ def test_no_hit_at_the_threshold_is_lost(spark):
     assert incoming.seen_before(h, n).count() == 3_000
 
 
-def test_append_keeps_the_first(spark):
-    n = spark.createDataFrame([("a", 1, "w " * 25), ("b", 2, "w " * 25), ("c", 3, "v " * 25)], "uid string, ord bigint, text string")
-    s = incoming.sketch(n, 20, False).cache()
-    index = incoming.append(incoming.build_index(s.where("ord = 1")), s.where("ord > 1"))
-    assert sorted(r[0] for r in index.select("first").collect()) == [1, 3]
+def test_a_cycle_of_any_length_is_the_same(spark):
+    """A short and a long text of one cycle of words share all their runs; so do texts of one and two distinct runs."""
+    cycle = VOCABULARY[:30]
+    old = [" ".join(cycle), "a " * 25, "b c " * 20]
+    h, n = spark.createDataFrame([(t,) for t in old], "text string"), spark.createDataFrame([(1, " ".join(cycle * 6)), (2, "a " * 400), (3, "b c " * 11 + "b"), (4, "c d " * 20)], "ord bigint, text string")
+    assert {r.ord: r.kind for r in incoming.seen_before(h, n).collect()} == {1: "near", 2: "near", 3: "near"}
+
+
+def test_swapped_halves_are_told_by_the_likeness(spark):
+    w = [f"s{i}" for i in range(80)]
+    h = spark.createDataFrame([(" ".join(w),)], "text string")
+    n = spark.createDataFrame([(1, " ".join(w[40:] + w[:40])), (2, " ".join([*w[:20], "new", *w[20:]])), (3, " ".join(w[:10]) + " other" * 70)], "ord bigint, text string")
+    out, _ = incoming.accept(incoming.seed(h), n)
+    assert {r.ord: r.edits for r in out.collect()} == {1: None, 2: 5}
+
+
+def test_batches_read_the_stored_index_alone(spark, tmp_path):
+    """Folding the batches over a stored index gives what one pass gives, with the history's own table gone."""
+    import shutil
+
+    all_ = texts(240, 6)
+    spark.createDataFrame([(t,) for t in [*all_[:90], *ODD]], "text string").write.parquet(f"{tmp_path}/history")
+    history = spark.read.parquet(f"{tmp_path}/history")
+    new = [(i, t) for i, t in enumerate([*all_[90:], None, "", all_[95]])]
+    want = {r.ord: r.kind for r in incoming.seen_before(history, spark.createDataFrame(new, "ord bigint, text string")).collect()}
+    incoming.seed(history).append_to(f"{tmp_path}/index")
+    shutil.rmtree(f"{tmp_path}/history")
+    got = {}
+    for at in range(0, len(new), 60):
+        verdicts, more = incoming.accept(incoming.stored(spark, f"{tmp_path}/index"), spark.createDataFrame(new[at : at + 60], "ord bigint, text string"))
+        got |= {r.ord: r.kind for r in verdicts.collect()}
+        more.append_to(f"{tmp_path}/index")
+    assert got == want and len(want) > 30
+    assert incoming.stored(spark, f"{tmp_path}/index").texts.groupBy("cls").count().where("count > 1").isEmpty()
+
+
+def test_edits_between_sequences():
+    import numpy as np
+
+    r = random.Random(3)
+    for _ in range(500):
+        x, y = (np.array(r.sample(range(9), r.randint(1, 8)), dtype=np.uint32) for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            now = [i]
+            for j, b in enumerate(y, 1):
+                now.append(row[j - 1] if a == b else min(row[j], now[-1]) + 1)
+            row = now
+        k = r.randint(0, 12)
+        assert incoming.edits_between(x, y, k) == (row[-1] if row[-1] <= k else None)
 
 
 @pytest.mark.parametrize("small_mb", [64, -1])

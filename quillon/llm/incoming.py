@@ -12,7 +12,7 @@ by bounded edit distance; if not, or beyond the bound, a block may have moved, a
 
 Each touched segment costs three runs at least (two segments can't be touched by fewer than four adjacent words, which cost six), so of
 two sequences of which the stored one is at most 1.4 times as long as the other, some segment stays whole at a likeness of 0.5. Sequences of
-under SHORT runs store and probe each single run as well, which loses nothing at any length.
+under SHORT runs store all their substrings, and those of under half as many, which only repetitive texts have, each single run as well: of them nothing is lost.
 
 A batch is accepted by reading the index and the batch alone; what it adds is appended. No text of the history is read again.
 """
@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..shared import bounded, table
 from . import words as W
 
@@ -80,13 +81,14 @@ def pieces(runs: list[bytes], every: bool) -> tuple[np.ndarray, np.ndarray, np.n
     flat = np.frombuffer(b"".join(runs), dtype=np.uint32).astype(np.uint64)
     at = np.cumsum(n) - n
     k = W.odd_constants(29, 4)
-    many = np.maximum(n - SEGMENT + 1, 0) if every else np.where(n >= SEGMENT, np.maximum((n + 2) // SPACING, 1), 0)
+    whole = np.maximum(n - SEGMENT + 1, 0)
+    many = whole if every else np.where(n < SHORT, whole, (n + 2) // SPACING)
     row = np.repeat(np.arange(len(n)), many)
     no = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    start = no if every else no * (n[row] - SEGMENT) // np.maximum(many[row] - 1, 1)
+    start = no * (n[row] - SEGMENT) // np.maximum(many[row] - 1, 1)
     p = at[row] + start
     long = W.mix(flat[p] * k[0] + flat[p + 1] * k[1] + flat[p + 2] * k[2]) if len(p) else np.zeros(0, dtype=np.uint64)
-    few = np.where(n < SHORT, n, 0)
+    few = np.where(n < SHORT // 2, n, 0)
     row_1 = np.repeat(np.arange(len(n)), few)
     start_1 = np.arange(len(row_1)) - np.repeat(np.cumsum(few) - few, few)
     single = W.mix(flat[at[row_1] + start_1] * k[3] + np.uint64(1)) if len(row_1) else np.zeros(0, dtype=np.uint64)
@@ -94,18 +96,17 @@ def pieces(runs: list[bytes], every: bool) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def sketch(rows: DataFrame, min_words: int) -> DataFrame:
-    """(ord, cls, key, length, runs) of the rows (ord, text) with at least min_words words. cls tells sequences apart, key texts without surrounding white space."""
+    """(ord, cls, length, runs) of the rows (ord, text) with at least min_words words. cls tells sequences apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             keep, seqs = sequences(texts, min_words)
             runs = [s.tobytes() for s in seqs]
-            keys = [xxhash.xxh3_128_digest(texts[i].strip().encode("utf-8", "surrogatepass")) for i in keep]
-            cols = [b.column(0).take(pa.array(keep, pa.int64())), pa.array(map(xxhash.xxh3_128_digest, runs), pa.binary()), pa.array(keys, pa.binary()), pa.array([len(s) for s in seqs], pa.int32()), pa.array(runs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["ord", "cls", "key", "length", "runs"])
+            cols = [b.column(0).take(pa.array(keep, pa.int64())), pa.array(map(xxhash.xxh3_128_digest, runs), pa.binary()), pa.array([len(s) for s in seqs], pa.int32()), pa.array(runs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["ord", "cls", "length", "runs"])
 
-    return rows.select("ord", "text").where("ord IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "ord bigint, cls binary, key binary, length int, runs binary")
+    return rows.select("ord", "text").where("ord IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "ord bigint, cls binary, length int, runs binary")
 
 
 def cut(rows: DataFrame, ids: list[str], every: bool) -> DataFrame:
@@ -120,12 +121,17 @@ def cut(rows: DataFrame, ids: list[str], every: bool) -> DataFrame:
     return rows.select(*ids, "runs").mapInArrow(run, ", ".join(f"{i} bigint" for i in ids) + ", length int, start int, segment bigint")
 
 
-def added(sketched: DataFrame) -> Index:
+def spelt(rows: DataFrame) -> DataFrame:
+    """(ord, key) of rows (ord, text): key tells texts apart, white space around them aside."""
+    return rows.where("ord IS NOT NULL AND text IS NOT NULL").select("ord", F.unhex(F.md5(strip(F.col("text")))).alias("key"))
+
+
+def added(sketched: DataFrame, spelt: DataFrame) -> Index:
     """The index of a batch alone, its texts written once."""
     texts = sketched.groupBy("cls").agg(F.min("ord").alias("first"), F.first("length").alias("length"), F.first("runs").alias("runs"))
     texts = table(texts.withColumn("sid", F.conv(F.substring(F.hex("cls"), 1, 15), 16, 10).cast("bigint")).select("cls", "sid", "first", "length", "runs"), "texts")
     segments = cut(texts, ["sid", "first"], False).withColumn("band", F.floor(F.log2("length")).cast("int")).select("band", "segment", "sid", "first", "length", "start")
-    return Index(texts, segments, sketched.groupBy("key").agg(F.min("ord").alias("first")))
+    return Index(texts, segments, spelt.groupBy("key").agg(F.min("ord").alias("first")))
 
 
 def edits_between(x: np.ndarray, y: np.ndarray, most: float) -> int | None:
@@ -200,13 +206,13 @@ def accept(index: Index, batch: DataFrame, threshold: float = 0.5, min_words: in
     text where the edit distance tells, 0 for the same sequence, null where only a moved block's likeness does. Null texts, null ords and texts of fewer
     than min_words words are never reported and match nothing. Partitions of lengths that the batch can't meet are not read.
     """
-    s = table(sketch(batch, min_words), "batch")
-    new = added(s)
+    s, keys = table(sketch(batch, min_words), "batch"), spelt(batch)
+    new = added(s, keys)
     known = table(index.texts.select("cls", "first").join(bounded(new.texts.select("cls")), "cls", "left_semi"), "known")
     texts = new.texts.join(known, "cls", "left_anti")
     segments = new.segments.join(known.select(F.conv(F.substring(F.hex("cls"), 1, 15), 16, 10).cast("bigint").alias("sid")), "sid", "left_anti")
-    spelt = index.spellings.join(bounded(new.spellings.select("key")), "key", "left_semi")
-    additions = Index(table(texts, "new-texts"), table(segments.select(*new.segments.columns), "new-segments"), table(new.spellings.join(spelt.select("key"), "key", "left_anti"), "new-spellings"))
+    old_keys = table(index.spellings.join(bounded(new.spellings.select("key")), "key", "left_semi"), "old-keys")
+    additions = Index(table(texts, "new-texts"), table(segments.select(*new.segments.columns), "new-segments"), table(new.spellings.join(old_keys.select("key"), "key", "left_anti"), "new-spellings"))
 
     rows = s.join(known.unionByName(additions.texts.select("cls", "first")).groupBy("cls").agg(F.min("first").alias("first")), "cls")
     same = rows.where("first < ord").select("ord", F.lit("near").alias("kind"), F.lit(0).alias("edits"))
@@ -218,14 +224,15 @@ def accept(index: Index, batch: DataFrame, threshold: float = 0.5, min_words: in
     every = every.join(pairs.select("sid").distinct(), "sid", "left_semi")
     near = verified(pairs.join(every, "sid").join(fresh.select("ord", "runs"), "ord"), threshold).select("ord", F.lit("near").alias("kind"), "edits")
 
-    least = spelt.unionByName(additions.spellings).groupBy("key").agg(F.min("first").alias("least"))
-    exact = s.select("ord", "key").join(least, "key").where("least < ord").select("ord", F.lit("exact").alias("kind"), F.lit(0).alias("edits"))
+    least = old_keys.unionByName(additions.spellings).groupBy("key").agg(F.min("first").alias("least"))
+    exact = keys.join(s.select("ord"), "ord", "left_semi").join(least, "key").where("least < ord").select("ord", F.lit("exact").alias("kind"), F.lit(0).alias("edits"))
     return same.union(near).union(exact).groupBy("ord").agg(F.min("kind").alias("kind"), F.min("edits").alias("edits")), additions
 
 
 def seed(history: DataFrame, min_words: int = 20) -> Index:
     """The index of a history (text) accepted before any batch: its ord is -1. Repeated rows count once."""
-    index = added(sketch(history.select(F.lit(-1).cast("bigint").alias("ord"), "text"), min_words))
+    rows = history.select(F.lit(-1).cast("bigint").alias("ord"), "text")
+    index = added(sketch(rows, min_words), spelt(rows))
     return Index(index.texts, table(index.segments, "segments"), index.spellings)
 
 

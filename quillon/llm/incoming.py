@@ -1,18 +1,21 @@
 """New batches against everything accepted before: a stored segment index for edit distance.
 
-A text stands for its *sequence*: its distinct three-word runs in the order in which they first occur, as 32-bit hashes (two texts of 100 runs
-see a run shared that isn't with a chance of 2e-6). Repetition adds nothing to a sequence, as it adds nothing to the likeness. With sequences of
-a and b runs, s of them shared, the likeness is s / (a + b - s). Where the shared runs keep their order, the least number of insertions and deletions that
-turn one into the other is a + b - 2 s, so a likeness of t or more is the same as a distance of at most (a + b) (1 - t) / (1 + t): the bound.
-
-The index stores, for each distinct sequence, a fixed number of disjoint segments that depends on its length alone (one of five words for each
-seven, evenly spaced) by length and position, in partitions of lengths between two powers of two. A batch's sequence probes with its substrings; only
-segments of sequences whose length leaves room for the threshold are met, and the positions tell whether the pair can be within the bound. If so, it is accepted
+A text stands for its words, of which each run of three is kept as a 32-bit hash (two texts of 100 runs see a run shared that isn't with a chance
+of 2e-6). Its *sequence* is its distinct runs in the order in which they first occur: repetition adds nothing to it, as it adds
+nothing to the likeness. With sequences of a and b runs, s of them shared, the likeness is s / (a + b - s). Where the shared runs keep their order, the
+least number of insertions and deletions that turn one sequence into the other is a + b - 2 s, so a likeness of t or more is the same as a
+distance of at most (a + b) (1 - t) / (1 + t): the bound.
+
+The index stores, for each distinct text, a fixed number of disjoint segments that depends on its length alone (one of five words for each
+five, evenly spaced) by length and position, in partitions of lengths between two powers of two. A batch's text probes with its five-word substrings; only
+segments of texts whose length leaves room for the threshold are met, and the positions tell whether the pair can be within the bound. If so, it is accepted
 by bounded edit distance; if not, or beyond the bound, a block may have moved, and the likeness itself decides.
 
-Each touched segment costs three runs at least (two segments can't be touched by fewer than four adjacent words, which cost six), so of
-two sequences of which the stored one is at most 1.4 times as long as the other, some segment stays whole at a likeness of 0.5. Sequences of
-under SHORT runs store all their substrings, and those of under half as many, which only repetitive texts have, each single run as well: of them nothing is lost.
+An edit that touches a segment costs runs of the stored text and brings new ones to the other: 2 and 2 where words are torn apart, 2 and 3
+for a word put in, 3 and 2 for one left out, 3 and 3 for one replaced. At a likeness of t the lost runs and t times the new ones are (1 - t) a at most, so
+no more than a (1 - t) / (2 + 2 t) segments are touched, a sixth of a at 0.5; the others are shared. Pairs that share fewer segments are dropped without loss. The count supposes that
+no run occurs twice; of a stored text in which one does, a single shared segment is enough. Texts of under SHORT distinct runs
+store all their substrings, and those of under half as many, which only repetitive texts have, each single run as well.
 
 A batch is accepted by reading the index and the batch alone; what it adds is appended. No text of the history is read again.
 """
@@ -33,12 +36,15 @@ from ..functions.text import strip
 from ..shared import bounded, table
 from . import words as W
 
-SEGMENT, SPACING, SHORT, SHINGLE = 3, 7, 36, 3  # runs of a segment (five words), words for each segment, runs of a short sequence, words of a run
-TEXTS, SEGMENTS, SPELLINGS = "cls binary, sid bigint, first bigint, length int, runs binary", "band int, segment bigint, sid bigint, first bigint, length int, start int", "key binary, first bigint"
+SEGMENT, SPACING, SHORT, SHINGLE = 3, 5, 36, 3  # runs of a segment (five words), words for each segment, runs of a short sequence, words of a run
+TEXTS, SPELLINGS = "cls binary, sid bigint, first bigint, length int, runs binary", "key binary, first bigint"
+PLACE = "segment bigint, sid bigint, first bigint, length int, words int, start int, least int"
+SEGMENTS = f"band int, {PLACE}"
+PLACES = [c.split()[0] for c in PLACE.split(", ")]
 
 
 class Index(NamedTuple):
-    """texts: each distinct sequence and the least ord at which it was accepted; segments: its segments by length and position; spellings: the
+    """texts: each distinct text by its words, and the least ord at which it was accepted; segments: its segments by length and position; spellings: the
     least ord of each text, white space around it aside."""
 
     texts: DataFrame
@@ -63,62 +69,73 @@ def empty(spark: SparkSession) -> Index:
     return Index(*(spark.createDataFrame([], kind) for kind in (TEXTS, SEGMENTS, SPELLINGS)))
 
 
-def sequences(texts: list[str | None], min_words: int) -> tuple[list[int], list[np.ndarray]]:
-    """Of the texts with at least min_words words: their positions and sequences."""
+def run_hashes(texts: list[str | None], min_words: int) -> tuple[list[int], list[np.ndarray]]:
+    """Of the texts with at least min_words words: their positions and the hashes of their runs of words."""
     w, at = W.word_hashes(texts)
     grams = (W.ngram_hashes(w, SHINGLE) >> np.uint64(32)).astype(np.uint32)
     keep = [i for i in range(len(texts)) if at[i + 1] - at[i] >= max(min_words, SHINGLE)]
-    out = []
-    for i in keep:
-        g = grams[at[i] : at[i + 1] - SHINGLE + 1]
-        out.append(g[np.sort(np.unique(g, return_index=True)[1])])
-    return keep, out
+    return keep, [grams[at[i] : at[i + 1] - SHINGLE + 1] for i in keep]
 
 
-def pieces(runs: list[bytes], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence's position, start, hash) of the segments, or of every substring that can equal one, and each sequence's length."""
+def sequence(runs: np.ndarray, length: int) -> np.ndarray:
+    """The distinct runs, length in number, in the order of their first places."""
+    return runs if len(runs) == length else runs[np.sort(np.unique(runs, return_index=True)[1])]
+
+
+def pieces(runs: list[bytes], length: np.ndarray, every: bool, threshold: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text's position, start, hash) of the distinct segments, or of every substring that can equal one; and each text's number of
+    words and of segments that a text of likeness threshold must share."""
     n = np.array([len(r) // 4 for r in runs], dtype=np.int64)
     flat = np.frombuffer(b"".join(runs), dtype=np.uint32).astype(np.uint64)
     at = np.cumsum(n) - n
     k = W.odd_constants(29, 4)
     whole = np.maximum(n - SEGMENT + 1, 0)
-    many = whole if every else np.where(n < SHORT, whole, (n + 2) // SPACING)
+    all_of = np.ones(len(n), dtype=bool) if every else length < SHORT
+    many = np.where(all_of, whole, (n + SHINGLE - 1) // SPACING)
     row = np.repeat(np.arange(len(n)), many)
     no = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     start = no * (n[row] - SEGMENT) // np.maximum(many[row] - 1, 1)
     p = at[row] + start
     long = W.mix(flat[p] * k[0] + flat[p + 1] * k[1] + flat[p + 2] * k[2]) if len(p) else np.zeros(0, dtype=np.uint64)
-    few = np.where(n < SHORT // 2, n, 0)
+    few = np.where(length < SHORT // 2, n, 0)
     row_1 = np.repeat(np.arange(len(n)), few)
     start_1 = np.arange(len(row_1)) - np.repeat(np.cumsum(few) - few, few)
     single = W.mix(flat[at[row_1] + start_1] * k[3] + np.uint64(1)) if len(row_1) else np.zeros(0, dtype=np.uint64)
-    return np.concatenate([row, row_1]), np.concatenate([start, start_1]).astype(np.int32), np.concatenate([long, single]).view(np.int64), n.astype(np.int32)
+    row, start, h = np.concatenate([row, row_1]), np.concatenate([start, start_1]).astype(np.int32), np.concatenate([long, single]).view(np.int64)
+    least = np.where((n == length) & ~all_of, np.maximum(many - (length * (1 - threshold) / (2 + 2 * threshold)).astype(np.int64), 1), 1)
+    if (n != length).any():  # of a segment that occurs twice in a text the first place counts
+        order = np.lexsort((start, h, row))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])
+        row, start, h = (x[order[first]] for x in (row, start, h))
+    return row, start, h, (n + SHINGLE - 1).astype(np.int32), least.astype(np.int32)
 
 
 def sketch(rows: DataFrame, min_words: int) -> DataFrame:
-    """(ord, cls, length, runs) of the rows (ord, text) with at least min_words words. cls tells sequences apart."""
+    """(ord, cls, length, runs) of the rows (ord, text) with at least min_words words: runs in order, length the number of distinct ones. cls tells the texts' words apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            keep, seqs = sequences(texts, min_words)
-            runs = [s.tobytes() for s in seqs]
-            cols = [b.column(0).take(pa.array(keep, pa.int64())), pa.array(map(xxhash.xxh3_128_digest, runs), pa.binary()), pa.array([len(s) for s in seqs], pa.int32()), pa.array(runs, pa.binary())]
+            keep, hashes = run_hashes(texts, min_words)
+            runs = [x.tobytes() for x in hashes]
+            cols = [b.column(0).take(pa.array(keep, pa.int64())), pa.array(map(xxhash.xxh3_128_digest, runs), pa.binary()), pa.array([len(np.unique(x)) for x in hashes], pa.int32()), pa.array(runs, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["ord", "cls", "length", "runs"])
 
     return rows.select("ord", "text").where("ord IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "ord bigint, cls binary, length int, runs binary")
 
 
-def cut(rows: DataFrame, ids: list[str], every: bool) -> DataFrame:
-    """The segments (or, with every, all substrings) of rows (*ids, runs): (*ids, length, start, segment)."""
+def cut(rows: DataFrame, ids: list[str], every: bool, threshold: float = 0.5) -> DataFrame:
+    """The segments (or, with every, all substrings) of rows (*ids, length, runs): (*ids, length, words, start, segment, least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, start, segment, n = pieces(b.column(len(ids)).to_pylist(), every)
+            n = b.column(len(ids)).to_numpy()
+            row, start, segment, words, least = pieces(b.column(len(ids) + 1).to_pylist(), n, every, threshold)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(ids))), pa.array(n[row]), pa.array(start), pa.array(segment)], names=[*ids, "length", "start", "segment"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(ids) + 1)), pa.array(words[row]), pa.array(start), pa.array(segment), pa.array(least[row])], names=[*ids, "length", "words", "start", "segment", "least"])
 
-    return rows.select(*ids, "runs").mapInArrow(run, ", ".join(f"{i} bigint" for i in ids) + ", length int, start int, segment bigint")
+    return rows.select(*ids, "length", "runs").mapInArrow(run, ", ".join(f"{i} bigint" for i in ids) + ", length int, words int, start int, segment bigint, least int")
 
 
 def spelt(rows: DataFrame) -> DataFrame:
@@ -126,11 +143,11 @@ def spelt(rows: DataFrame) -> DataFrame:
     return rows.where("ord IS NOT NULL AND text IS NOT NULL").select("ord", F.unhex(F.md5(strip(F.col("text")))).alias("key"))
 
 
-def added(sketched: DataFrame, spelt: DataFrame) -> Index:
+def added(sketched: DataFrame, spelt: DataFrame, threshold: float = 0.5) -> Index:
     """The index of a batch alone, its texts written once."""
     texts = sketched.groupBy("cls").agg(F.min("ord").alias("first"), F.first("length").alias("length"), F.first("runs").alias("runs"))
     texts = table(texts.withColumn("sid", F.conv(F.substring(F.hex("cls"), 1, 15), 16, 10).cast("bigint")).select("cls", "sid", "first", "length", "runs"), "texts")
-    segments = cut(texts, ["sid", "first"], False).withColumn("band", F.floor(F.log2("length")).cast("int")).select("band", "segment", "sid", "first", "length", "start")
+    segments = cut(texts, ["sid", "first"], False, threshold).withColumn("band", F.floor(F.log2("length")).cast("int")).select("band", *PLACES)
     return Index(texts, segments, spelt.groupBy("key").agg(F.min("ord").alias("first")))
 
 
@@ -161,12 +178,12 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def hits(probing: DataFrame, segments: DataFrame, threshold: float, hot_rows: int = 2_000, salts: int = 64) -> DataFrame:
-    """Distinct (ord, sid, near): a stored sequence accepted before `ord` that shares a segment with it and has a fitting length; near: whether some
+    """Distinct (ord, sid, near): a stored text accepted before `ord` that shares enough segments with it and has a fitting length; near: whether some
     shared segment stands where a distance within the bound leaves it.
 
-    probing: (ord, runs). Segments that over hot_rows sequences share, which a sixteenth of them tells well enough, are spread over `salts` tasks.
+    probing: (ord, length, runs). Segments that over hot_rows texts share, which a sixteenth of them tells well enough, are spread over `salts` tasks.
     """
-    probes = cut(probing, ["ord"], True).withColumnsRenamed({"length": "b", "start": "q"})
+    probes = cut(probing, ["ord"], True).selectExpr("ord", "length AS b", "words AS words_b", "start AS q", "segment")
     frequent = segments.where("pmod(sid, 16) = 0").groupBy("segment").count().where(F.col("count") > hot_rows / 16).select("segment")
     frequent = table(frequent, "hot")
     on = ["segment"]
@@ -176,26 +193,27 @@ def hits(probing: DataFrame, segments: DataFrame, threshold: float, hot_rows: in
         probes = probes.join(frequent, "segment", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
         on = ["segment", "salt"]
     fits = F.expr(f"first < ord AND length >= {threshold} * b - 1e-6 AND b >= {threshold} * length - 1e-6")
-    shift = F.abs(F.col("q") - F.col("start")) + F.abs((F.col("b") - F.col("q")) - (F.col("length") - F.col("start")))
+    shift = F.abs(F.col("q") - F.col("start")) + F.abs((F.col("words_b") - F.col("q")) - (F.col("words") - F.col("start")))
     near = shift <= (F.col("length") + F.col("b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    return probes.join(segments, on).where(fits).groupBy("ord", "sid").agg(F.max(near).alias("near"))
+    shared = probes.join(segments, on).where(fits).groupBy("ord", "sid").agg(F.max(near).alias("near"), F.count("*").alias("n"), F.first("least").alias("least"))
+    return shared.where("n >= least").select("ord", "sid", "near")
 
 
 def verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (ord, near, runs, runs_2) those alike: (ord, edits), edits null where only the likeness tells."""
+    """Of pairs (ord, near, runs, length, runs_2, length_2) those alike: (ord, edits), edits null where only the likeness tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hit, edits = [], []
-            for i, (near, p, q) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(p, dtype=np.uint32), np.frombuffer(q, dtype=np.uint32)
+            for i, (near, p, n, q, m) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 6)), strict=True)):
+                x, y = sequence(np.frombuffer(p, dtype=np.uint32), n), sequence(np.frombuffer(q, dtype=np.uint32), m)
                 d = edits_between(x, y, (len(x) + len(y)) * (1 - threshold) / (1 + threshold) + 1e-6) if near else None
                 if d is not None or likeness(x, y) >= threshold:
                     hit.append(i)
                     edits.append(d)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit, pa.int64())), pa.array(edits, pa.int32())], names=["ord", "edits"])
 
-    return pairs.select("ord", "near", "runs", "runs_2").mapInArrow(run, "ord bigint, edits int")
+    return pairs.select("ord", "near", "runs", "length", "runs_2", "length_2").mapInArrow(run, "ord bigint, edits int")
 
 
 def accept(index: Index, batch: DataFrame, threshold: float = 0.5, min_words: int = 20, **how) -> tuple[DataFrame, Index]:
@@ -207,7 +225,7 @@ def accept(index: Index, batch: DataFrame, threshold: float = 0.5, min_words: in
     than min_words words are never reported and match nothing. Partitions of lengths that the batch can't meet are not read.
     """
     s, keys = table(sketch(batch, min_words), "batch"), spelt(batch)
-    new = added(s, keys)
+    new = added(s, keys, threshold)
     known = table(index.texts.select("cls", "first").join(bounded(new.texts.select("cls")), "cls", "left_semi"), "known")
     texts = new.texts.join(known, "cls", "left_anti")
     segments = new.segments.join(known.select(F.conv(F.substring(F.hex("cls"), 1, 15), 16, 10).cast("bigint").alias("sid")), "sid", "left_anti")
@@ -219,20 +237,20 @@ def accept(index: Index, batch: DataFrame, threshold: float = 0.5, min_words: in
     fresh = table(rows.where("first = ord").select("ord", "runs", "length"), "fresh")
     low, high = fresh.agg(F.min("length"), F.max("length")).first()
     old = index.segments.where(f"band BETWEEN {int(np.log2(max(low * threshold, 1)))} AND {int(np.log2(high / threshold))}") if low is not None else index.segments
-    pairs = table(hits(fresh.select("ord", "runs"), old.select("segment", "sid", "first", "length", "start").unionByName(additions.segments.select("segment", "sid", "first", "length", "start")), threshold, **how), "hits")
-    every = index.texts.select("sid", F.col("runs").alias("runs_2")).unionByName(additions.texts.select("sid", F.col("runs").alias("runs_2")))
+    pairs = table(hits(fresh, old.select(*PLACES).unionByName(additions.segments.select(*PLACES)), threshold, **how), "hits")
+    every = index.texts.unionByName(additions.texts).select("sid", F.col("runs").alias("runs_2"), F.col("length").alias("length_2"))
     every = every.join(pairs.select("sid").distinct(), "sid", "left_semi")
-    near = verified(pairs.join(every, "sid").join(fresh.select("ord", "runs"), "ord"), threshold).select("ord", F.lit("near").alias("kind"), "edits")
+    near = verified(pairs.join(every, "sid").join(fresh, "ord"), threshold).select("ord", F.lit("near").alias("kind"), "edits")
 
     least = old_keys.unionByName(additions.spellings).groupBy("key").agg(F.min("first").alias("least"))
     exact = keys.join(s.select("ord"), "ord", "left_semi").join(least, "key").where("least < ord").select("ord", F.lit("exact").alias("kind"), F.lit(0).alias("edits"))
     return same.union(near).union(exact).groupBy("ord").agg(F.min("kind").alias("kind"), F.min("edits").alias("edits")), additions
 
 
-def seed(history: DataFrame, min_words: int = 20) -> Index:
+def seed(history: DataFrame, min_words: int = 20, threshold: float = 0.5) -> Index:
     """The index of a history (text) accepted before any batch: its ord is -1. Repeated rows count once."""
     rows = history.select(F.lit(-1).cast("bigint").alias("ord"), "text")
-    index = added(sketch(rows, min_words), spelt(rows))
+    index = added(sketch(rows, min_words), spelt(rows), threshold)
     return Index(index.texts, table(index.segments, "segments"), index.spellings)
 
 
@@ -240,4 +258,4 @@ def seen_before(history: DataFrame, incoming: DataFrame, threshold: float = 0.5,
     """(ord, kind) of the incoming rows (ord, text) whose text was accepted before, in history (text) or in an incoming row of lower ord: the
     history's index, and one accept() for all batches, whose order ord keeps."""
     new = incoming.select(F.col("ord").cast("bigint").alias("ord"), "text")
-    return accept(seed(history, min_words), new, threshold, min_words)[0].select("ord", "kind")
+    return accept(seed(history, min_words, threshold), new, threshold, min_words)[0].select("ord", "kind")

@@ -135,7 +135,7 @@ def test_common_segments_are_salted_without_loss(spark):
     rows = [common + " " + " ".join(random.Random(i).choices(VOCABULARY, k=20)) for i in range(60)]
     n = spark.createDataFrame(list(enumerate(rows)), "ord bigint, text string")
     i = incoming.added(incoming.sketch(n, 20), incoming.spelt(n))
-    probing = i.texts.select(F.col("first").alias("ord"), "runs")
+    probing = i.texts.select(F.col("first").alias("ord"), "length", "runs")
     one, many = ({tuple(r) for r in incoming.hits(probing, i.segments, 0.5, hot, 4).collect()} for hot in (2_000, 5))
     assert one == many and one
 

@@ -11,11 +11,11 @@ five, evenly spaced) by length and position, in partitions of lengths between tw
 segments of texts whose length leaves room for the threshold are met, and the positions tell whether the pair can be within the bound. If so, it is accepted
 by bounded edit distance; if not, or beyond the bound, a block may have moved, and the likeness itself decides.
 
-An edit that touches a segment costs runs of the stored text and brings new ones to the other: 2 and 2 where words are torn apart, 2 and 3
-for a word put in, 3 and 2 for one left out, 3 and 3 for one replaced. At a likeness of t the lost runs and t times the new ones are (1 - t) a at most, so
-no more than a (1 - t) / (2 + 2 t) segments are touched, a sixth of a at 0.5; the others are shared. Pairs that share fewer segments are dropped without loss. The count supposes that
-no run occurs twice; of a stored text in which one does, a single shared segment is enough. Texts of under SHORT distinct runs
-store all their substrings, and those of under half as many, which only repetitive texts have, each single run as well.
+An edit that touches a segment costs two runs of the stored text at least (the runs over a gap where words are torn apart or put in; three for a word replaced or left out). At a
+likeness of t the stored text has lost a - (a + b) t / (1 + t) runs at most, so no more than half as many segments are touched, and the others are
+shared; pairs that share fewer are dropped without loss. The count supposes that no run occurs twice; of a stored text in which one does, a single
+shared segment is enough. Texts of under SHORT distinct runs store all their substrings, and those of under half as many, which only
+repetitive texts have, each single run as well.
 
 A batch is accepted by reading the index and the batch alone; what it adds is appended. No text of the history is read again.
 """
@@ -38,7 +38,7 @@ from . import words as W
 
 SEGMENT, SPACING, SHORT, SHINGLE = 3, 5, 36, 3  # runs of a segment (five words), words for each segment, runs of a short sequence, words of a run
 TEXTS, SPELLINGS = "cls binary, sid bigint, first bigint, length int, runs binary", "key binary, first bigint"
-PLACE = "segment bigint, sid bigint, first bigint, length int, words int, start int, least int"
+PLACE = "segment bigint, sid bigint, first bigint, length int, words int, start int, many int"
 SEGMENTS = f"band int, {PLACE}"
 PLACES = [c.split()[0] for c in PLACE.split(", ")]
 
@@ -82,9 +82,9 @@ def sequence(runs: np.ndarray, length: int) -> np.ndarray:
     return runs if len(runs) == length else runs[np.sort(np.unique(runs, return_index=True)[1])]
 
 
-def pieces(runs: list[bytes], length: np.ndarray, every: bool, threshold: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(runs: list[bytes], length: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text's position, start, hash) of the distinct segments, or of every substring that can equal one; and each text's number of
-    words and of segments that a text of likeness threshold must share."""
+    words, and of segments where these are disjoint and no run occurs twice (else 0)."""
     n = np.array([len(r) // 4 for r in runs], dtype=np.int64)
     flat = np.frombuffer(b"".join(runs), dtype=np.uint32).astype(np.uint64)
     at = np.cumsum(n) - n
@@ -102,13 +102,13 @@ def pieces(runs: list[bytes], length: np.ndarray, every: bool, threshold: float
     start_1 = np.arange(len(row_1)) - np.repeat(np.cumsum(few) - few, few)
     single = W.mix(flat[at[row_1] + start_1] * k[3] + np.uint64(1)) if len(row_1) else np.zeros(0, dtype=np.uint64)
     row, start, h = np.concatenate([row, row_1]), np.concatenate([start, start_1]).astype(np.int32), np.concatenate([long, single]).view(np.int64)
-    least = np.where((n == length) & ~all_of, np.maximum(many - (length * (1 - threshold) / (2 + 2 * threshold)).astype(np.int64), 1), 1)
+    count = np.where((n == length) & ~all_of, many, 0)
     if (n != length).any():  # of a segment that occurs twice in a text the first place counts
         order = np.lexsort((start, h, row))
         first = np.ones(len(order), dtype=bool)
         first[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])
         row, start, h = (x[order[first]] for x in (row, start, h))
-    return row, start, h, (n + SHINGLE - 1).astype(np.int32), least.astype(np.int32)
+    return row, start, h, (n + SHINGLE - 1).astype(np.int32), count.astype(np.int32)
 
 
 def sketch(rows: DataFrame, min_words: int) -> DataFrame:
@@ -125,17 +125,17 @@ def sketch(rows: DataFrame, min_words: int) -> DataFrame:
     return rows.select("ord", "text").where("ord IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "ord bigint, cls binary, length int, runs binary")
 
 
-def cut(rows: DataFrame, ids: list[str], every: bool, threshold: float = 0.5) -> DataFrame:
-    """The segments (or, with every, all substrings) of rows (*ids, length, runs): (*ids, length, words, start, segment, least)."""
+def cut(rows: DataFrame, ids: list[str], every: bool) -> DataFrame:
+    """The segments (or, with every, all substrings) of rows (*ids, length, runs): (*ids, length, words, start, segment, many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.column(len(ids)).to_numpy()
-            row, start, segment, words, least = pieces(b.column(len(ids) + 1).to_pylist(), n, every, threshold)
+            row, start, segment, words, many = pieces(b.column(len(ids) + 1).to_pylist(), n, every)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(ids) + 1)), pa.array(words[row]), pa.array(start), pa.array(segment), pa.array(least[row])], names=[*ids, "length", "words", "start", "segment", "least"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(ids) + 1)), pa.array(words[row]), pa.array(start), pa.array(segment), pa.array(many[row])], names=[*ids, "length", "words", "start", "segment", "many"])
 
-    return rows.select(*ids, "length", "runs").mapInArrow(run, ", ".join(f"{i} bigint" for i in ids) + ", length int, words int, start int, segment bigint, least int")
+    return rows.select(*ids, "length", "runs").mapInArrow(run, ", ".join(f"{i} bigint" for i in ids) + ", length int, words int, start int, segment bigint, many int")
 
 
 def spelt(rows: DataFrame) -> DataFrame:
@@ -143,11 +143,11 @@ def spelt(rows: DataFrame) -> DataFrame:
     return rows.where("ord IS NOT NULL AND text IS NOT NULL").select("ord", F.unhex(F.md5(strip(F.col("text")))).alias("key"))
 
 
-def added(sketched: DataFrame, spelt: DataFrame, threshold: float = 0.5) -> Index:
+def added(sketched: DataFrame, spelt: DataFrame) -> Index:
     """The index of a batch alone, its texts written once."""
     texts = sketched.groupBy("cls").agg(F.min("ord").alias("first"), F.first("length").alias("length"), F.first("runs").alias("runs"))
     texts = table(texts.withColumn("sid", F.conv(F.substring(F.hex("cls"), 1, 15), 16, 10).cast("bigint")).select("cls", "sid", "first", "length", "runs"), "texts")
-    segments = cut(texts, ["sid", "first"], False, threshold).withColumn("band", F.floor(F.log2("length")).cast("int")).select("band", *PLACES)
+    segments = cut(texts, ["sid", "first"], False).withColumn("band", F.floor(F.log2("length")).cast("int")).select("band", *PLACES)
     return Index(texts, segments, spelt.groupBy("key").agg(F.min("ord").alias("first")))
 
 
@@ -195,8 +195,9 @@ def hits(probing: DataFrame, segments: DataFrame, threshold: float, hot_rows: in
     fits = F.expr(f"first < ord AND length >= {threshold} * b - 1e-6 AND b >= {threshold} * length - 1e-6")
     shift = F.abs(F.col("q") - F.col("start")) + F.abs((F.col("words_b") - F.col("q")) - (F.col("words") - F.col("start")))
     near = shift <= (F.col("length") + F.col("b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    shared = probes.join(segments, on).where(fits).groupBy("ord", "sid").agg(F.max(near).alias("near"), F.count("*").alias("n"), F.first("least").alias("least"))
-    return shared.where("n >= least").select("ord", "sid", "near")
+    shared = probes.join(segments, on).where(fits).groupBy("ord", "sid").agg(F.max(near).alias("near"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("many", "length", "b")])
+    touched = F.floor((F.col("length") - (F.col("length") + F.col("b")) * (threshold / (1 + threshold))) / 2 + 1e-6)
+    return shared.where(F.col("n") >= F.col("many") - touched).select("ord", "sid", "near")
 
 
 def verified(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -225,32 +226,32 @@ def accept(index: Index, batch: DataFrame, threshold: float = 0.5, min_words: in
     than min_words words are never reported and match nothing. Partitions of lengths that the batch can't meet are not read.
     """
     s, keys = table(sketch(batch, min_words), "batch"), spelt(batch)
-    new = added(s, keys, threshold)
+    new = added(s, keys)
     known = table(index.texts.select("cls", "first").join(bounded(new.texts.select("cls")), "cls", "left_semi"), "known")
     texts = new.texts.join(known, "cls", "left_anti")
     segments = new.segments.join(known.select(F.conv(F.substring(F.hex("cls"), 1, 15), 16, 10).cast("bigint").alias("sid")), "sid", "left_anti")
     old_keys = table(index.spellings.join(bounded(new.spellings.select("key")), "key", "left_semi"), "old-keys")
     additions = Index(table(texts, "new-texts"), table(segments.select(*new.segments.columns), "new-segments"), table(new.spellings.join(old_keys.select("key"), "key", "left_anti"), "new-spellings"))
 
-    rows = s.join(known.unionByName(additions.texts.select("cls", "first")).groupBy("cls").agg(F.min("first").alias("first")), "cls")
+    # neither side of these joins is bounded
+    rows = s.hint("merge").join(known.unionByName(additions.texts.select("cls", "first")).groupBy("cls").agg(F.min("first").alias("first")), "cls")
     same = rows.where("first < ord").select("ord", F.lit("near").alias("kind"), F.lit(0).alias("edits"))
     fresh = table(rows.where("first = ord").select("ord", "runs", "length"), "fresh")
     low, high = fresh.agg(F.min("length"), F.max("length")).first()
     old = index.segments.where(f"band BETWEEN {int(np.log2(max(low * threshold, 1)))} AND {int(np.log2(high / threshold))}") if low is not None else index.segments
     pairs = table(hits(fresh, old.select(*PLACES).unionByName(additions.segments.select(*PLACES)), threshold, **how), "hits")
     every = index.texts.unionByName(additions.texts).select("sid", F.col("runs").alias("runs_2"), F.col("length").alias("length_2"))
-    every = every.join(pairs.select("sid").distinct(), "sid", "left_semi")
-    near = verified(pairs.join(every, "sid").join(fresh, "ord"), threshold).select("ord", F.lit("near").alias("kind"), "edits")
+    near = verified(pairs.hint("merge").join(every, "sid").hint("merge").join(fresh, "ord"), threshold).select("ord", F.lit("near").alias("kind"), "edits")
 
     least = old_keys.unionByName(additions.spellings).groupBy("key").agg(F.min("first").alias("least"))
     exact = keys.join(s.select("ord"), "ord", "left_semi").join(least, "key").where("least < ord").select("ord", F.lit("exact").alias("kind"), F.lit(0).alias("edits"))
     return same.union(near).union(exact).groupBy("ord").agg(F.min("kind").alias("kind"), F.min("edits").alias("edits")), additions
 
 
-def seed(history: DataFrame, min_words: int = 20, threshold: float = 0.5) -> Index:
+def seed(history: DataFrame, min_words: int = 20) -> Index:
     """The index of a history (text) accepted before any batch: its ord is -1. Repeated rows count once."""
     rows = history.select(F.lit(-1).cast("bigint").alias("ord"), "text")
-    index = added(sketch(rows, min_words), spelt(rows), threshold)
+    index = added(sketch(rows, min_words), spelt(rows))
     return Index(index.texts, table(index.segments, "segments"), index.spellings)
 
 
@@ -258,4 +259,4 @@ def seen_before(history: DataFrame, incoming: DataFrame, threshold: float = 0.5,
     """(ord, kind) of the incoming rows (ord, text) whose text was accepted before, in history (text) or in an incoming row of lower ord: the
     history's index, and one accept() for all batches, whose order ord keeps."""
     new = incoming.select(F.col("ord").cast("bigint").alias("ord"), "text")
-    return accept(seed(history, min_words, threshold), new, threshold, min_words)[0].select("ord", "kind")
+    return accept(seed(history, min_words), new, threshold, min_words)[0].select("ord", "kind")

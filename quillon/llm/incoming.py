@@ -6,16 +6,15 @@ nothing to the likeness. With sequences of a and b runs, s of them shared, the l
 least number of insertions and deletions that turn one sequence into the other is a + b - 2 s, so a likeness of t or more is the same as a
 distance of at most (a + b) (1 - t) / (1 + t): the bound.
 
-The index stores, for each distinct text, a fixed number of disjoint segments that depends on its length alone (one of five words for each
-five, evenly spaced) by length and position, in partitions of lengths between two powers of two. A batch's text probes with its five-word substrings; only
+The index stores, for each distinct text, a fixed number of disjoint segments that depends on its length alone (one of six words for each
+six, evenly spaced) by length and position, in partitions of lengths between two powers of two. A batch's text probes with its six-word substrings; only
 segments of texts whose length leaves room for the threshold are met, and the positions tell whether the pair can be within the bound. If so, it is accepted
 by bounded edit distance; if not, or beyond the bound, a block may have moved, and the likeness itself decides.
 
-An edit that touches a segment costs two runs of the stored text at least (the runs over a gap where words are torn apart or put in; three for a word replaced or left out). At a
-likeness of t the stored text has lost a - (a + b) t / (1 + t) runs at most, so no more than half as many segments are touched, and the others are
-shared; pairs that share fewer are dropped without loss. The count supposes that no run occurs twice; of a stored text in which one does, a single
-shared segment is enough. Texts of under SHORT distinct runs store all their substrings, and those of under half as many, which only
-repetitive texts have, each single run as well.
+A word put in, left out or replaced touches one segment and costs three to five runs of both texts together, weighed as the likeness weighs them: at a
+likeness of 0.5 such edits touch at most a seventh of a stored text's runs in segments, of which it has a sixth, so some stay whole. Only where nearly all
+edits are of two adjacent words in two segments, or nearly all segments are torn apart by moves, could none stay. Texts of under SHORT distinct
+runs store all their substrings, and those of under half as many, which only repetitive texts have, each single run as well.
 
 A batch is accepted by reading the index and the batch alone; what it adds is appended. No text of the history is read again.
 """
@@ -36,9 +35,9 @@ from ..functions.text import strip
 from ..shared import bounded, table
 from . import words as W
 
-SEGMENT, SPACING, SHORT, SHINGLE = 3, 5, 36, 3  # runs of a segment (five words), words for each segment, runs of a short sequence, words of a run
+SEGMENT, SPACING, SHORT, SHINGLE = 4, 6, 36, 3  # runs of a segment (six words), words for each segment, runs of a short sequence, words of a run
 TEXTS, SPELLINGS = "cls binary, sid bigint, first bigint, length int, runs binary", "key binary, first bigint"
-PLACE = "segment bigint, sid bigint, first bigint, length int, words int, start int, many int"
+PLACE = "segment bigint, sid bigint, first bigint, length int, words int, start int"
 SEGMENTS = f"band int, {PLACE}"
 PLACES = [c.split()[0] for c in PLACE.split(", ")]
 
@@ -82,33 +81,30 @@ def sequence(runs: np.ndarray, length: int) -> np.ndarray:
     return runs if len(runs) == length else runs[np.sort(np.unique(runs, return_index=True)[1])]
 
 
-def pieces(runs: list[bytes], length: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text's position, start, hash) of the distinct segments, or of every substring that can equal one; and each text's number of
-    words, and of segments where these are disjoint and no run occurs twice (else 0)."""
+def pieces(runs: list[bytes], length: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text's position, start, hash) of the distinct segments, or of every substring that can equal one; and each text's number of words."""
     n = np.array([len(r) // 4 for r in runs], dtype=np.int64)
     flat = np.frombuffer(b"".join(runs), dtype=np.uint32).astype(np.uint64)
     at = np.cumsum(n) - n
-    k = W.odd_constants(29, 4)
+    k = W.odd_constants(29, SEGMENT + 1)
     whole = np.maximum(n - SEGMENT + 1, 0)
-    all_of = np.ones(len(n), dtype=bool) if every else length < SHORT
-    many = np.where(all_of, whole, (n + SHINGLE - 1) // SPACING)
+    many = whole if every else np.where(length < SHORT, whole, (n + SHINGLE - 1) // SPACING)
     row = np.repeat(np.arange(len(n)), many)
     no = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     start = no * (n[row] - SEGMENT) // np.maximum(many[row] - 1, 1)
     p = at[row] + start
-    long = W.mix(flat[p] * k[0] + flat[p + 1] * k[1] + flat[p + 2] * k[2]) if len(p) else np.zeros(0, dtype=np.uint64)
+    long = W.mix(sum(flat[p + j] * k[j] for j in range(SEGMENT))) if len(p) else np.zeros(0, dtype=np.uint64)
     few = np.where(length < SHORT // 2, n, 0)
     row_1 = np.repeat(np.arange(len(n)), few)
     start_1 = np.arange(len(row_1)) - np.repeat(np.cumsum(few) - few, few)
-    single = W.mix(flat[at[row_1] + start_1] * k[3] + np.uint64(1)) if len(row_1) else np.zeros(0, dtype=np.uint64)
+    single = W.mix(flat[at[row_1] + start_1] * k[SEGMENT] + np.uint64(1)) if len(row_1) else np.zeros(0, dtype=np.uint64)
     row, start, h = np.concatenate([row, row_1]), np.concatenate([start, start_1]).astype(np.int32), np.concatenate([long, single]).view(np.int64)
-    count = np.where((n == length) & ~all_of, many, 0)
     if (n != length).any():  # of a segment that occurs twice in a text the first place counts
         order = np.lexsort((start, h, row))
         first = np.ones(len(order), dtype=bool)
         first[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])
         row, start, h = (x[order[first]] for x in (row, start, h))
-    return row, start, h, (n + SHINGLE - 1).astype(np.int32), count.astype(np.int32)
+    return row, start, h, (n + SHINGLE - 1).astype(np.int32)
 
 
 def sketch(rows: DataFrame, min_words: int) -> DataFrame:
@@ -126,16 +122,16 @@ def sketch(rows: DataFrame, min_words: int) -> DataFrame:
 
 
 def cut(rows: DataFrame, ids: list[str], every: bool) -> DataFrame:
-    """The segments (or, with every, all substrings) of rows (*ids, length, runs): (*ids, length, words, start, segment, many)."""
+    """The segments (or, with every, all substrings) of rows (*ids, length, runs): (*ids, length, words, start, segment)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.column(len(ids)).to_numpy()
-            row, start, segment, words, many = pieces(b.column(len(ids) + 1).to_pylist(), n, every)
+            row, start, segment, words = pieces(b.column(len(ids) + 1).to_pylist(), n, every)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(ids) + 1)), pa.array(words[row]), pa.array(start), pa.array(segment), pa.array(many[row])], names=[*ids, "length", "words", "start", "segment", "many"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(ids) + 1)), pa.array(words[row]), pa.array(start), pa.array(segment)], names=[*ids, "length", "words", "start", "segment"])
 
-    return rows.select(*ids, "length", "runs").mapInArrow(run, ", ".join(f"{i} bigint" for i in ids) + ", length int, words int, start int, segment bigint, many int")
+    return rows.select(*ids, "length", "runs").mapInArrow(run, ", ".join(f"{i} bigint" for i in ids) + ", length int, words int, start int, segment bigint")
 
 
 def spelt(rows: DataFrame) -> DataFrame:
@@ -178,7 +174,7 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def hits(probing: DataFrame, segments: DataFrame, threshold: float, hot_rows: int = 2_000, salts: int = 64) -> DataFrame:
-    """Distinct (ord, sid, near): a stored text accepted before `ord` that shares enough segments with it and has a fitting length; near: whether some
+    """Distinct (ord, sid, near): a stored text accepted before `ord` that shares a segment with it and has a fitting length; near: whether some
     shared segment stands where a distance within the bound leaves it.
 
     probing: (ord, length, runs). Segments that over hot_rows texts share, which a sixteenth of them tells well enough, are spread over `salts` tasks.
@@ -195,9 +191,7 @@ def hits(probing: DataFrame, segments: DataFrame, threshold: float, hot_rows: in
     fits = F.expr(f"first < ord AND length >= {threshold} * b - 1e-6 AND b >= {threshold} * length - 1e-6")
     shift = F.abs(F.col("q") - F.col("start")) + F.abs((F.col("words_b") - F.col("q")) - (F.col("words") - F.col("start")))
     near = shift <= (F.col("length") + F.col("b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    shared = probes.join(segments, on).where(fits).groupBy("ord", "sid").agg(F.max(near).alias("near"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("many", "length", "b")])
-    touched = F.floor((F.col("length") - (F.col("length") + F.col("b")) * (threshold / (1 + threshold))) / 2 + 1e-6)
-    return shared.where(F.col("n") >= F.col("many") - touched).select("ord", "sid", "near")
+    return probes.join(segments, on).where(fits).groupBy("ord", "sid").agg(F.max(near).alias("near"))
 
 
 def verified(pairs: DataFrame, threshold: float) -> DataFrame:

@@ -2,15 +2,17 @@
 
 1. Texts whose words are the same in the same order form one class; a class enters the search once, however many
    copies it has.
-2. A class gets MinHash symbols of its three-word runs. One bit of each of 96 symbols makes a fingerprint, so the Hamming
+2. A class gets MinHash symbols of its distinct three-word runs. One bit of each of 128 symbols makes a fingerprint, so the Hamming
    distance of two fingerprints grows with 1 - likeness.
-3. Whole-collection vantage trees prune nothing at a likeness of 0.5 (the search radius exceeds the spread of the
-   distances), so the trees are planted in shards: classes that agree in one segment of three MinHash symbols.
+3. Whole-collection vantage trees prune nothing at a likeness of 0.5: fingerprints of strangers lie 64 +- 6 from any vantage point, less than the search
+   radius apart from each other. The trees are therefore planted in shards: classes that agree in one segment of three MinHash symbols.
 4. A shard is searched by a vantage-point tree: it is split at the median Hamming distance from a vantage fingerprint,
-   and only members whose distance lies within the radius of the boundary are compared across it (triangle bound).
-5. A shard with more than `shard_rows` members is cut into bands of distance from its vantage fingerprint, and only
-   pairs of bands nearer to each other than the radius meet, each pair of bands in a task of its own.
-6. Pairs within the radius are checked exactly against the texts.
+   and only members whose distance lies within the radius of the boundary are compared across it (triangle bound). Shards of up to LEAF
+   members are leaves.
+5. A shard with more than `shard_rows` members is cut, in order of distance from its vantage fingerprint, into blocks of that size, and only
+   blocks nearer to each other than the radius meet, each pair of blocks in a task of its own.
+6. Pairs within the radius are checked exactly by their runs, which are kept as 32-bit hashes (two texts of 100 runs see a run shared that isn't with
+   a chance of 2e-6); no text is read again.
 """
 
 from __future__ import annotations
@@ -19,62 +21,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import table
+from ..shared import bounded, table
 from . import words as W
 
-SYMBOLS, ROWS, SHINGLE = 144, 3, 3
-HALF = 48  # bits in each half of a fingerprint
-SEGMENTS = 2 * (SYMBOLS // ROWS)  # the symbols are cut into segments twice: neighbours, and those a third of the way apart
-RADIUS = 41  # of 96 bits: unrelated texts differ in 48 +- 5, texts of likeness 0.5 in 24 +- 4
-LEAF = 48
+SEGMENTS, ROWS, SHINGLE = 64, 3, 3
+SYMBOLS = SEGMENTS * ROWS
+HALF = 64  # bits in each half of a fingerprint
+RADIUS = 51  # of 128 bits: unrelated texts differ in 64 +- 6, texts of likeness 0.5 in 32 +- 5
+LEAF = 16
 
 
-def fingerprints(texts: list[str | None], min_words: int) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts with at least min_words words: their positions, class keys, segment hashes, and the fingerprint's two halves."""
-    w, at = W.word_hashes(texts)
-    grams = W.ngram_hashes(w, SHINGLE)
-    keep = [i for i in range(len(texts)) if at[i + 1] - at[i] >= max(min_words, SHINGLE)]
-    if not keep:
+def keyed(df: DataFrame, id_col: str, text_col: str, min_words: int, runs: bool) -> DataFrame:
+    """(id, cls) of each row whose text has min_words words or more, and where asked its distinct runs as sorted 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, at = W.word_hashes(b.column(1).to_pylist())
+            keep = [i for i in range(b.num_rows) if at[i + 1] - at[i] >= max(min_words, SHINGLE)]
+            cols = [b.column(0).take(pa.array(keep, pa.int64())), pa.array([W.text_key(w[at[i] : at[i + 1]]) for i in keep], pa.binary())]
+            if runs:
+                grams = (W.ngram_hashes(w, SHINGLE) >> np.uint64(32)).astype(np.uint32)
+                cols.append(pa.array([np.unique(grams[at[i] : at[i + 1] - SHINGLE + 1]).tobytes() for i in keep], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "cls", "runs"][: len(cols)])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, f"id {kind}, cls binary" + (", runs binary" if runs else ""))
+
+
+def fingerprints(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each segment of the symbols (a row for each text), and the fingerprint's two halves."""
+    n = np.array([len(r) // 4 for r in runs], dtype=np.int64)
+    if not len(n):
         none = np.zeros(0, dtype=np.int64)
-        return [], [], np.zeros((0, SEGMENTS), dtype=np.int64), none, none
-    runs = np.concatenate([grams[at[i] : at[i + 1] - SHINGLE + 1] for i in keep])
-    lengths = np.array([at[i + 1] - at[i] - SHINGLE + 1 for i in keep])
-    m = W.minhash(runs, np.concatenate([[0], np.cumsum(lengths)[:-1]]), SYMBOLS)
+        return np.zeros((0, SEGMENTS), dtype=np.int64), none, none
+    h = W.mix(np.frombuffer(b"".join(runs), dtype=np.uint32).astype(np.uint64) + np.uint64(1))
+    m = W.minhash(h, np.cumsum(n) - n, SYMBOLS).astype(np.uint64)
     k = W.odd_constants(17, ROWS)
-    m64 = W.mix(m.astype(np.uint64)).reshape(len(keep), SEGMENTS // 2, ROWS)
-    m64 = np.concatenate([m64, m64.reshape(len(keep), ROWS, SEGMENTS // 2).transpose(0, 2, 1)], axis=1)
-    segments = W.mix((m64 * k).sum(axis=2, dtype=np.uint64) + np.arange(SEGMENTS, dtype=np.uint64))
-    bits = W.mix(m[:, : 2 * HALF].astype(np.uint64) + np.uint64(7)) & np.uint64(1)
+    segments = W.mix((W.mix(m).reshape(len(n), SEGMENTS, ROWS) * k).sum(axis=2, dtype=np.uint64) + np.arange(SEGMENTS, dtype=np.uint64))
+    bits = W.mix(m[:, : 2 * HALF] + np.uint64(7)) & np.uint64(1)
     place = np.uint64(1) << np.arange(HALF, dtype=np.uint64)
     low, high = ((x * place).sum(axis=1, dtype=np.uint64) for x in (bits[:, :HALF], bits[:, HALF:]))
-    return keep, [W.text_key(w[at[i] : at[i + 1]]) for i in keep], segments.view(np.int64), low.view(np.int64), high.view(np.int64)
+    return segments.view(np.int64), low.view(np.int64), high.view(np.int64)
 
 
-def sketch(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, cls, cid, low, high, segments) of each row whose text has min_words words or more."""
+def shards_of(classes: DataFrame) -> DataFrame:
+    """(key, cid, low, high): each class (cid, runs) in its shards, one for each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, keys, segments, low, high = fingerprints(b.column(1).to_pylist(), min_words)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(keep, pa.int64())),
-                    pa.array(keys, pa.binary()),
-                    pa.array(np.frombuffer(b"".join(k[:8] for k in keys), dtype=np.int64)),
-                    pa.array(low),
-                    pa.array(high),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, SEGMENTS * len(keep) + 1, SEGMENTS, dtype=np.int32)), pa.array(segments.ravel())),
-                ],
-                names=["id", "cls", "cid", "low", "high", "segments"],
-            )
+            segments, low, high = fingerprints(b.column(1).to_pylist())
+            cid = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(segments.ravel()), *(pa.array(np.repeat(x, SEGMENTS)) for x in (cid, low, high))], names=["key", "cid", "low", "high"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(
-        run, f"id {kind}, cls binary, cid bigint, low bigint, high bigint, segments array<bigint>"
-    )
+    return classes.select("cid", "runs").mapInArrow(run, "key bigint, cid bigint, low bigint, high bigint")
 
 
 def hamming(low: np.ndarray, high: np.ndarray, i: np.ndarray | int, j: np.ndarray | int) -> np.ndarray:
@@ -117,20 +119,26 @@ def _triangle(low: np.ndarray, high: np.ndarray, m: np.ndarray, radius: int, out
 
 
 def shard_pairs(shards: DataFrame, radius: int) -> DataFrame:
-    """(a, b), a < b, of the cids within radius in each shard. shards: (key, cid, low, high), each shard small."""
+    """(a, b), a < b, of the cids within radius in each shard. shards: (key, side, cid, low, high), each shard small; of a shard with sides 1 and 2 only
+    pairs across count, of one with side 0 all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, dtype=np.int64)] * 4
+        rest = [np.zeros(0, dtype=np.int64)] * 5
 
         def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-            key, cid, low, high = cols
+            key, side, cid, low, high = cols
             out: list = []
             bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
             sizes = np.diff(np.append(bounds, len(key)))
             low, high = low.view(np.uint64), high.view(np.uint64)
-            large = sizes > LEAF
-            for b, n in zip(bounds[large], sizes[large], strict=True):
-                tree_pairs(low, high, np.arange(b, b + n), radius, out)
+            sided = side[bounds] > 0
+            large = (sizes > LEAF) | sided
+            for b, n, two in zip(bounds[large], sizes[large], sided[large], strict=True):
+                members = np.arange(b, b + n)
+                if two:
+                    _across(low, high, members[side[b : b + n] == 1], members[side[b : b + n] == 2], radius, out)
+                else:
+                    tree_pairs(low, high, members, radius, out)
             ends = np.repeat(bounds + sizes, sizes) * ~np.repeat(large, sizes) if len(key) else bounds
             i = np.arange(len(key))
             for step in range(1, LEAF):  # the leaves of all small shards at once
@@ -156,32 +164,39 @@ def shard_pairs(shards: DataFrame, radius: int) -> DataFrame:
 
     spark = shards.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(n, "key").sortWithinPartitions("key").select("key", "cid", "low", "high").mapInArrow(run, "a bigint, b bigint")
+    return shards.repartition(n, "key").sortWithinPartitions("key").select("key", "side", "cid", "low", "high").mapInArrow(run, "a bigint, b bigint")
 
 
-def _bands(shard: DataFrame, rows: int, radius: int) -> DataFrame:
-    """Shards for pairs of distance bands of the large shards (key, n): each band meets itself and those within the radius."""
+def _blocks(shard: DataFrame, rows: int, radius: int) -> DataFrame:
+    """Shards (key, side, cid, low, high) for pairs of blocks of the large shards (key, cid, low, high): a shard's members in order of distance from its
+    vantage fingerprint, in blocks of about `rows`; each block meets itself and those within the radius. A row is copied once for each block it meets."""
     vantage = shard.groupBy("key").agg(F.min_by(F.struct("low", "high"), "cid").alias("v"), F.count("*").alias("n"))
     d = shard.join(vantage, "key").withColumn("d", F.expr("bit_count(low ^ v.low) + bit_count(high ^ v.high)"))
-    cells = F.ceil(F.col("n") / rows)
-    d = d.withColumn("cell", F.pmod(F.xxhash64("cid"), cells)).withColumn("cells", cells)
-    sizes = d.groupBy("key", "d", "cell").agg(F.first("cells").alias("cells"))
-    x, y = sizes.alias("x"), sizes.alias("y")
-    meet = x.join(y, "key").where("struct(x.d, x.cell) <= struct(y.d, y.cell)").where(F.expr(f"y.d - x.d <= {radius}"))
-    meet = meet.select("key", F.col("x.d").alias("dx"), F.col("x.cell").alias("cx"), F.col("y.d").alias("dy"), F.col("y.cell").alias("cy"))
-    task = F.xxhash64("key", "dx", "cx", "dy", "cy").alias("key2")
-    ends = meet.select("key", task, F.explode(F.array_distinct(F.array(F.struct(F.col("dx").alias("d"), F.col("cx").alias("cell")), F.struct(F.col("dy").alias("d"), F.col("cy").alias("cell"))))).alias("e"))
-    return d.join(ends.select("key", "key2", "e.d", "e.cell"), ["key", "d", "cell"]).select(F.col("key2").alias("key"), "cid", "low", "high")
+    # how many members lie nearer: a row for each distance of each shard
+    nearer = d.groupBy("key", "d").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("key").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(nearer.withColumn("before", before), ["key", "d"])
+    place = F.col("before") + F.col("c") * (F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) / (1 << 20))
+    d = d.select("key", "cid", "low", "high", "d", F.floor(place / rows).alias("block"))
+    reach = d.groupBy("key", "block").agg(F.min("d").alias("least"), F.max("d").alias("most"))
+    x, y = reach.alias("x"), reach.alias("y")
+    meet = x.join(y, "key").where(F.col("x.block") <= F.col("y.block")).where(F.col("y.least") - F.col("x.most") <= radius)
+    meet = meet.select("key", F.col("x.block").alias("bx"), F.col("y.block").alias("by"), F.xxhash64("key", "x.block", "y.block").alias("key2"))
+    end = lambda c, side: F.struct(F.col(c).alias("block"), F.lit(side).cast("bigint").alias("side"))
+    ends = meet.select("key", "key2", F.explode(F.when(F.col("bx") == F.col("by"), F.array(end("bx", 0))).otherwise(F.array(end("bx", 1), end("by", 2)))).alias("e"))
+    return d.join(ends.select("key", "key2", "e.block", "e.side"), ["key", "block"]).select(F.col("key2").alias("key"), "side", "cid", "low", "high")
 
 
 def candidate_pairs(classes: DataFrame, radius: int = RADIUS, shard_rows: int = 20_000) -> DataFrame:
-    """Distinct (a, b) of the cids of classes (cid, low, high, segments) within the radius in some shard."""
-    shards = classes.select(F.explode("segments").alias("key"), "cid", "low", "high")
-    large = table(shards.groupBy("key").count().where(F.col("count") > shard_rows).select("key"), "large")
+    """Distinct (a, b) of the cids of classes (cid, runs) within the radius in some shard. Which shards are large, a sixteenth of the classes tells."""
+    shards = shards_of(classes)
+    some = shards_of(classes.where("pmod(cid, 16) = 0")).groupBy("key").count().where(F.col("count") > shard_rows / 16).select("key")
+    large = bounded(table(some, "large"))
+    whole = F.lit(0).cast("bigint").alias("side")
     if large.isEmpty():
-        return shard_pairs(shards, radius).distinct()
-    small = shards.join(large, "key", "left_anti")
-    return shard_pairs(small, radius).union(shard_pairs(_bands(shards.join(large, "key", "left_semi"), shard_rows, radius), radius)).distinct()
+        return shard_pairs(shards.select("key", whole, "cid", "low", "high"), radius).distinct()
+    small = shards.join(large, "key", "left_anti").select("key", whole, "cid", "low", "high")
+    return shard_pairs(small, radius).union(shard_pairs(_blocks(table(shards.join(large, "key", "left_semi"), "large-shards"), shard_rows, radius), radius)).distinct()
 
 
 def class_links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.5, min_words: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -191,32 +206,26 @@ def class_links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.
     first is the least id of the class, size the number of its ids. Null texts, texts of fewer than min_words words and null ids take part in
     nothing; of an id that occurs with several texts, each counts. Rows that repeat an id and text count once.
     """
-    made = table(sketch(df, id_col, text_col, min_words), "sketch")
-    classes = table(
-        made.groupBy("cls").agg(F.min("id").alias("first"), F.first("cid").alias("cid"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("segments").alias("segments")), "classes"
-    )
+    classes = keyed(df, id_col, text_col, min_words, True).groupBy("cls").agg(F.first("runs").alias("runs"))
+    classes = table(classes.withColumn("cid", F.conv(F.substring(F.hex("cls"), 1, 15), 16, 10).cast("bigint")), "classes")
     pairs = table(candidate_pairs(classes), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    needed = ends.join(classes.select("cid", "cls", F.col("first").alias("id")), "cid")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    # an id may have several texts: exact() takes the one that has the class's key
-    texts = table(needed.join(texts, "id").dropDuplicates(["cls", "text"]), "texts")
-    a, b = (texts.select(F.col("cid").alias(x), F.col("cls").alias(f"cls_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    a, b = (classes.select(F.col("cid").alias(x), F.col("cls").alias(f"cls_{x}"), F.col("runs").alias(f"runs_{x}")) for x in "ab")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.to_pydict()
             hit = []
-            for i in range(batch.num_rows):
-                x, y = W.words(c["text_a"][i]), W.words(c["text_b"][i])
-                if (W.key_of(x), W.key_of(y)) == (c["cls_a"][i], c["cls_b"][i]) and W.likeness(x, y, SHINGLE) >= threshold:
+            for i, (p, q) in enumerate(zip(batch.column("runs_a").to_pylist(), batch.column("runs_b").to_pylist(), strict=True)):
+                x, y = np.frombuffer(p, dtype=np.uint32), np.frombuffer(q, dtype=np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= threshold * (len(x) + len(y) - both):
                     hit.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([c[k][i] for i in hit], pa.binary()) for k in ("cls_a", "cls_b")], names=["cls_a", "cls_b"])
+            yield batch.select(["cls_a", "cls_b"]).take(pa.array(hit, pa.int64()))
 
-    links = pairs.join(a, "a").join(b, "b").select("cls_a", "cls_b", "text_a", "text_b").mapInArrow(exact, "cls_a binary, cls_b binary").distinct()
-    members = made.select("id", "cls").distinct()
+    # both sides grow with the data
+    links = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").select("cls_a", "cls_b", "runs_a", "runs_b").mapInArrow(exact, "cls_a binary, cls_b binary").distinct()
+    members = table(keyed(df, id_col, text_col, min_words, False).distinct(), "members")
     sizes = members.groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("size"))
-    return members.join(sizes, "cls").select("id", "cls", "first", "size"), links
+    return members.join(sizes, "cls").select("id", "cls", "first", "size"), table(links, "links")
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.5, min_words: int = 20, spelled_out: int = 64) -> DataFrame:

@@ -86,8 +86,7 @@ def test_many_copies_are_a_star(spark):
 def test_large_shards_are_cut_without_loss(spark):
     base = " ".join(VOCABULARY[:60])
     rows = [base + " " + " ".join(random.Random(i).choices(VOCABULARY, k=12)) for i in range(150)]
-    df = neardup.sketch(table(spark, rows), "rid", "body", 20).cache()
-    classes = df.select("cid", "cls", F.col("id").alias("first"), "low", "high", "segments")
+    classes = neardup.keyed(table(spark, rows), "rid", "body", 20, True).select(F.xxhash64("cls").alias("cid"), "runs").cache()
     whole, cut = ({tuple(r) for r in neardup.candidate_pairs(classes, shard_rows=n).collect()} for n in (20_000, 20))
     assert whole == cut and len(whole) > 1_000
 

@@ -10,6 +10,7 @@ from .text import strip
 #: Media types by file extension.
 MEDIA_TYPES = {
     "pdf": "application/pdf", "html": "text/html", "htm": "text/html", "txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json": "application/json", "xml": "text/xml",
+    "doc": "application/msword", "odt": "application/vnd.oasis.opendocument.text", "rtf": "application/rtf", "svg": "image/svg+xml", "tar": "application/x-tar", "tif": "image/tiff", "tiff": "image/tiff",
     "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
     "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "zip": "application/zip",
 }
@@ -60,7 +61,7 @@ def media_type(name: Column) -> Column:
 def class_name(name: Column, default: str = "Collection") -> Column:
     """Words of a collection's name, each with a capital, as one word."""
     words = F.filter(F.split(name, "[-_]"), lambda w: w != "")
-    made = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), "")
+    made = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.char_length(w)))), "")
     return F.when(made == "", default).otherwise(made)
 
 

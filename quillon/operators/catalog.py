@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import warnings
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import identity
+from ..functions import identity, text
 from ..schemas import ConfigError
 
 
@@ -62,6 +69,55 @@ def migration(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Version:
+    """A collection's schema as registered."""
+
+    collection: str
+    version: int
+    dim: int
+    fields: tuple[str, ...]
+    model: str
+    signature: str
+
+
+class Versions:
+    """Schema versions of collections, configuration that the driver holds. A collection that is dropped keeps its versions."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, Version] = {}
+
+    def register(self, collection: str, dim: int, fields: Iterable[str], model: str) -> Version:
+        """The present version, or the next one if the signature changes."""
+        names = tuple(sorted(fields))
+        signature = hashlib.sha256(f"{dim}|{','.join(names)}|{model}".encode()).hexdigest()
+        now = self.of.get(collection)
+        if now is None or now.signature != signature:
+            now = self.of[collection] = Version(collection, now.version + 1 if now else 1, dim, names, model, signature)
+        return now
+
+    def mismatch(self, collection: str, dim: int | None = None, model: str | None = None) -> bool:
+        """Whether a query expects another dimension or model than registered; warns if so. An unregistered collection never differs."""
+        now = self.of.get(collection)
+        pairs = [] if now is None else [("dimension", dim, now.dim), ("embedding model", model or None, now.model)]
+        wrong = [f"{what} mismatch: expected {want}, actual {have}" for what, want, have in pairs if want is not None and want != have]
+        if wrong:
+            warnings.warn(f"Collection '{collection}' schema version mismatch: {', '.join(wrong)}", RuntimeWarning, stacklevel=3)
+        return bool(wrong)
+
+    def plan_migration(self, collection: str, dim: int, fields: Iterable[str], model: str) -> dict:
+        """Registers the new version and says what changes; ValueError for a collection without any."""
+        old = self.of.get(collection)
+        if old is None:
+            raise ValueError(f"Collection not registered: {collection}")
+        new = self.register(collection, dim, fields, model)
+        again = old.dim != new.dim or old.model != new.model
+        return {
+            "collection": collection, "from_version": old.version, "to_version": new.version, "dimension_changed": old.dim != new.dim, "metadata_changed": old.fields != new.fields,
+            "embedding_model_changed": old.model != new.model, "reembed_required": again, "warning": "Re-embedding required due to dimension/model change." if again else "",
+        }
+
+
 def progress(done: Column, total: Column) -> Column:
     return F.when(total <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), done / total)))
 
@@ -71,14 +127,24 @@ def job_status(done: Column, total: Column) -> Column:
     return F.when(p >= 1, "completed").when(p > 0, "running").otherwise("queued")
 
 
+#: States of jobs at rest, and words with which services say that a job failed or ended well.
+TERMINAL = ("completed", "failed", "cancelled")
+FAILED = ("failed", "error", "cancelled", "canceled")
+ENDED = ("complete", "completed", "done", "success", "succeeded")
+
+
 def is_terminal(status: Column) -> Column:
-    return F.coalesce(status.isin("completed", "failed", "cancelled"), F.lit(False))
+    return F.coalesce(status.isin(*TERMINAL), F.lit(False))
+
+
+def is_running(status: Column) -> Column:
+    return F.coalesce(status == "running", F.lit(False))
 
 
 def async_status(status: Column, completed: Column, success: Column, has_error: Column) -> Column:
     """End of a remote job by its status word, else by its flags: `failed`, `ok`, or null while it runs."""
     s, done, good = F.lower(F.trim(status)), F.coalesce(completed, F.lit(False)), F.coalesce(success, F.lit(False))
-    by_word = F.when(s.isin("failed", "error", "cancelled", "canceled"), "failed").when(s.isin("complete", "completed", "done", "success", "succeeded"), "ok")
+    by_word = F.when(s.isin(*FAILED), "failed").when(s.isin(*ENDED), "ok")
     return F.coalesce(by_word, F.when(done & good, "ok").when(done & ~good & has_error, "failed"))
 
 
@@ -91,6 +157,27 @@ def cancelled(jobs: DataFrame, job: str) -> DataFrame:
     return jobs.withColumn("status", F.when(hit, F.lit("cancelled")).otherwise(F.col("status")))
 
 
+def submitted(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """jobs with new ones put in; one with an id that is there replaces it."""
+    return jobs.join(new.select("job_id"), "job_id", "left_anti").unionByName(new)
+
+
+def audited(actions: DataFrame, now: str) -> DataFrame:
+    """(timestamp, action, target, actor, outcome, details) of actions (action, target[, actor, outcome, details]) with defaults: the system, success, none."""
+    given = lambda c, v: F.coalesce(F.col(c), v) if c in actions.columns else v
+    none = F.create_map().cast("map<string,string>")
+    return actions.select(F.lit(now).alias("timestamp"), "action", "target", given("actor", F.lit("system")).alias("actor"), given("outcome", F.lit("success")).alias("outcome"), given("details", none).alias("details"))
+
+
+def ids_verified(ids: Column) -> Column:
+    """There are ids, none of them is null or blank, and no two are equal."""
+    return F.coalesce((F.size(ids) > 0) & ~F.exists(ids, lambda i: F.coalesce(text.strip(i) == "", F.lit(True))) & (F.size(F.array_distinct(ids)) == F.size(ids)), F.lit(False))
+
+
+def enough_ids(ids: Column, least: int) -> Column:
+    return ids_verified(ids) & (F.size(ids) >= max(0, least))
+
+
 def metrics(events: DataFrame) -> DataFrame:
     """(key, total, last) of counters and gauges (key, value, seq)."""
     return events.groupBy("key").agg(F.sum("value").alias("total"), F.max_by("value", "seq").alias("last"))
@@ -105,6 +192,49 @@ def comparison(cases: DataFrame) -> DataFrame:
     )
 
 
+def cases(documents: DataFrame, providers: Sequence[str]) -> DataFrame:
+    """Each document with each provider; providers are few names."""
+    return documents.withColumn("provider_id", F.explode(F.array(*map(F.lit, providers))))
+
+
+def counts(blocks: Column, tables: Column, artefacts: Column, most: int = 800) -> dict[str, Column]:
+    """What a comparison counts in a parsed document: characters, headings, tables, images, chunks."""
+    full = text.full_text(blocks)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    heading = F.filter(blocks, lambda b: F.coalesce((b["kind"] == "heading") | text.is_heading(b["text"]), F.lit(False)))
+    body = text.strip(full)
+    return {
+        "text_chars": F.char_length(full), "heading_count": size(heading), "table_count": size(tables), "image_count": size(artefacts),
+        "chunk_count": F.when(body == "", F.lit(0)).otherwise(F.size(text.clean(text.chunk_recursive(body, most)))),
+    }
+
+
+def providers_of(cases_: DataFrame) -> DataFrame:
+    """(provider_id): the distinct ones that are not blank, in order."""
+    return cases_.where("provider_id <> ''").select("provider_id").distinct().orderBy("provider_id")
+
+
+def report(cases_: DataFrame, generated_at: str, path: str, name: str) -> tuple[Path, Path]:
+    """Writes a comparison's summary and cases as JSON and as Markdown, line by line from the executors' rows, and returns both files."""
+    folder = Path(path)
+    folder.mkdir(parents=True, exist_ok=True)
+    summary = {r.provider_id: {k: v for k, v in r.asDict().items() if k != "provider_id"} for r in comparison(cases_).orderBy("provider_id").toLocalIterator()}
+    as_json, as_text = folder / f"{name}.json", folder / f"{name}.md"
+    with as_json.open("w", encoding="utf-8") as j, as_text.open("w", encoding="utf-8") as m:
+        j.write(f'{{"generated_at": {json.dumps(generated_at)}, "summary": {json.dumps(summary)}, "cases": [')
+        m.write(f"# Cross-Provider Comparison Report\n\n- Generated at: {generated_at}\n\n## Provider Summary\n\n| Provider | Total | OK | Success Ratio | Mean Parse Time (ms) | Quality Pass Rate |\n|---|---:|---:|---:|---:|---:|\n")
+        for p, v in summary.items():
+            m.write(f"| {p} | {v['total']} | {v['ok']} | {v['success_ratio']:.3f} | {v['mean_parse_time_ms']:.2f} | {v['quality_invariant_pass_rate']:.3f} |\n")
+        m.write("\n## Cases\n\n| Provider | Document ID | Category | Status | Mode | Text Chars | Tables | Images | Parse Time (ms) | Reason |\n|---|---|---|---|---|---:|---:|---:|---:|---|\n")
+        for i, r in enumerate(cases_.toLocalIterator()):
+            c = r.asDict(True)
+            j.write((", " if i else "") + json.dumps(c))
+            g = lambda k, none="", c=c: c.get(k) if c.get(k) is not None else none
+            m.write(f"| {g('provider_id')} | {g('document_id')} | {g('category')} | {g('status')} | {g('execution_mode')} | {g('text_chars', 0)} | {g('table_count', 0)} | {g('image_count', 0)} | {g('parse_time_ms', 0.0):.2f} | {g('reason')} |\n")
+        j.write("]}")
+    return as_json, as_text
+
+
 def provider_timeout(explicit: Column, base: Column, factor: float = 2.5, least: float = 90.0, most: float = 900.0) -> Column:
     return F.coalesce(explicit, F.least(F.greatest(base * factor, F.lit(least)), F.lit(max(most, least))))
 

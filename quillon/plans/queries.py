@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import catalog as C
 from ..operators import filters, history, lifecycle, search
-from ..sources import acquire, parsers, payloads
+from ..sources import parsers, payloads
 
 NOW = "2025-06-01T00:00:00Z"
 WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -168,13 +168,6 @@ def lexical_scores(spark, d):
     return search.bm25(read(spark, d, "documents").where("text IS NOT NULL"), "archive checkpoint", "doc_id", "text").withColumn("lexical", F.round("lexical", 6))
 
 
-@query()
-def hybrid_topk(spark, d):
-    s, _, q = _kb(spark, d)
-    docs = read(spark, d, "stored_documents").select("id", "content").dropDuplicates(["id"]).join(s, "id")
-    return search.hybrid(docs, "archive checkpoint", q, 10).withColumn("score", F.round("score", 6))
-
-
 # filters, listing, counting
 
 _META = "SELECT DISTINCT record_id, metadata.tenant_id AS tenant_id, lifecycle_state, metadata.chunk_index AS chunk_index FROM records"
@@ -295,11 +288,6 @@ def namespace_keys(spark, d):
     return read(spark, d, "documents").where("tenant_id IS NOT NULL").select("doc_id", I.namespace_key(F.col("tenant_id"), F.col("source")).alias("namespace_key"))
 
 
-@query()
-def point_ids(spark, d):
-    return read(spark, d, "stored_documents").select("id").distinct().select("id", I.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.col("id")).alias("point_id"))
-
-
 # text
 
 _DOCS = "FROM documents WHERE text IS NOT NULL"
@@ -338,11 +326,6 @@ def chunk_semantic(spark, d):
     return _text(spark, d).select("doc_id", F.posexplode(T.chunk_semantic(F.col("text"))).alias("chunk_index", "chunk"))
 
 
-@query()
-def chunk_semantic_gathered(spark, d):
-    return _text(spark, d).select("doc_id", F.posexplode(T.chunk_semantic(F.col("text"), 120)).alias("chunk_index", "chunk"))
-
-
 @query(_unnested(_parts_sql("string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10) || chr(10))")))
 def paragraph_blocks(spark, d):
     return _text(spark, d).select("doc_id", F.posexplode(T.paragraph_blocks(F.col("text"))).alias("chunk_index", "chunk"))
@@ -395,11 +378,6 @@ def table_html(spark, d):
     return _tables(spark, d).select("ir_id", "pos", T.render_table(F.col("t"), "table_as_html").alias("rendered"))
 
 
-@query()
-def table_json(spark, d):
-    return _tables(spark, d).select("ir_id", "pos", T.render_table(F.col("t"), "table_as_json").alias("records"), T.render_table(F.col("t"), "table_as_json", "rows_cols").alias("rows_cols"))
-
-
 @query(f"SELECT ir_id, array_to_string(list_filter(list_transform(text_blocks, lambda b: b.text), lambda t: {strip_sql('t')} <> ''), chr(10) || chr(10)) AS text FROM document_irs")
 def full_text(spark, d):
     return read(spark, d, "document_irs").select("ir_id", T.full_text(F.col("text_blocks")).alias("text"))
@@ -420,12 +398,6 @@ def quality_invariants(spark, d):
     return read(spark, d, "document_irs").select("ir_id", T.invariants_passed(F.col("text_blocks"), F.col("table_blocks"), F.lit(500), F.lit(True), F.lit(False)).alias("passed"))
 
 
-@query(f"SELECT ir_id, (unnest(range(len(c))))::INT AS chunk_index, sha256({strip_sql('unnest(c)')}) AS content_hash FROM (SELECT ir_id, {_parts_sql('list_transform(range(greatest((length(x) + 799) // 800, 1)), lambda i: substr(x, (i * 800 + 1)::BIGINT, 800))')} AS c FROM (SELECT ir_id, array_to_string(list_filter(list_transform(text_blocks, lambda b: b.text), lambda t: {strip_sql('t')} <> ''), chr(10) || chr(10)) AS x FROM document_irs))")
-def ingest_chunks(spark, d):
-    docs = read(spark, d, "document_irs").select(F.col("ir_id").alias("source_uri"), T.full_text(F.col("text_blocks")).alias("text"))
-    return acquire.chunked(docs, lambda c: T.chunk_fixed(c, 800)).select(F.col("source_uri").alias("ir_id"), "chunk_index", I.content_hash(F.col("content")).alias("content_hash"))
-
-
 # lifecycle
 
 _E = "coalesce({s}, '') = ''"
@@ -463,7 +435,7 @@ _BATCHES = """WITH base AS (SELECT 'd' || (doc_id % 300) AS doc_id, 'r' || doc_i
 ex AS (SELECT * FROM base WHERE NOT late), nw AS (SELECT * FROM base WHERE late UNION ALL SELECT doc_id, record_id, chunk_index, seq + 100000000, late FROM base WHERE seq % 10 = 1),
 lastw AS (SELECT * FROM nw QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY seq DESC) = 1),
 kept AS (SELECT l.doc_id, l.record_id, l.chunk_index, coalesce(e.seq, l.seq) AS seq FROM lastw l LEFT JOIN ex e USING (record_id)),
-bc AS (SELECT doc_id, chunk_index, min_by(record_id, seq) AS a FROM kept GROUP BY 1, 2), bd AS (SELECT doc_id, min_by(record_id, seq) AS b FROM kept GROUP BY 1)
+bc AS (SELECT doc_id, chunk_index, max_by(record_id, seq) AS a FROM nw GROUP BY 1, 2), bd AS (SELECT doc_id, min_by(record_id, seq) AS b FROM nw GROUP BY 1)
 SELECT e.record_id, e.doc_id, e.seq, CASE WHEN b IS NOT NULL THEN 'superseded' ELSE 'active' END AS lifecycle_state, b IS NULL AS is_latest, CASE WHEN b IS NOT NULL THEN coalesce(a, b) END AS supersedes
 FROM ex e LEFT JOIN bd USING (doc_id) LEFT JOIN bc ON bc.doc_id = e.doc_id AND bc.chunk_index = e.chunk_index WHERE e.record_id NOT IN (SELECT record_id FROM kept)
 UNION ALL SELECT record_id, doc_id, seq, 'active', true, NULL FROM kept"""
@@ -623,8 +595,12 @@ def pages_until_enough(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import pipelines  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import pipelines  # noqa: F401
+
     return dict(_SQL)

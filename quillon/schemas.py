@@ -11,6 +11,7 @@ METADATA = (
     "ocr_confidence double, page int, page_number int, page_range string, section string, section_path string, table_id string, table_title string, chunk_kind string, extras map<string,string>"
 )
 RECORD = f"record_id string, content string, metadata struct<{', '.join(f.replace(' ', ':', 1) for f in METADATA.split(', '))}>, lifecycle_state string"
+#: What metadata must have, and the values some of it may take.
 SOURCE_TYPES = ("web", "file", "api", "database", "other")
 LIFECYCLE_STATES = ("active", "deleted", "superseded", "archived")
 REQUIRED = ("doc_id", "source_uri", "lifecycle_state", "created_at")

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+import zlib
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +59,7 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> list:
     n = df.count()
     share = min(1.0, most / max(n, 1))
     rows = df.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * most).collect()
-    return sorted(rows, key=lambda r: (hash(r[key]) * 2654435761) % 4294967291)[:most]
+    return sorted(rows, key=lambda r: zlib.crc32(str(r[key]).encode()))[:most]
 
 
 def _remove(spark: SparkSession, path: str) -> None:

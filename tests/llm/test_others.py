@@ -99,10 +99,31 @@ def test_scanned_lines_are_repaired():
     found, paragraphs = scanned.repair(lines, chain.label(feats), scanned.Lexicon(LEX))
     assert {f[0] for f in found if f[2] == "furniture"} == {5 * i for i in range(5)} | {5 * i + 2 for i in range(5)}
     assert (1, 0, "broken_word", "federated") in found and (1, 1, "misread_word", "client") in found
+    assert (1, 2, "broken_word", "time-boxed") in found and "time-boxed archive" in paragraphs[0]
     assert "federated fingerprint" in paragraphs[0] and "client" in paragraphs[0] and "12" not in " ".join(paragraphs)
     assert scanned.lines_of(None) == [] and scanned.repair([], [], scanned.Lexicon([])) == ([], [])
 
 
+def test_misreadings_are_undone_as_they_are_made():
+    made, undone = scanned.Lexicon(LEX), scanned.Lexicon(LEX, most=0)
+    forms = [*made.read, *LEX, "nothing", "c1ient", "fcdcratcd", ""]
+    assert len(forms) > 500 and [undone.right(f) for f in forms] == [made.right(f) for f in forms]
+
+
+def test_headings_are_no_furniture():
+    """A section's heading stays though its number runs along with the pages; the header above it goes."""
+    blocks = [block(f"Quiet Ledger Report\n{p} The archive", p, "heading", ("Quiet Ledger Report", "The archive")) for p in range(1, 6)] + [block("Page 7 of 9", 6)]
+    lines = scanned.lines_of(blocks)
+    feats = scanned.features(lines)
+    assert [scanned.LABELS[y] for y in scanned.evident_labels(lines, feats)] == ["header", "body"] * 5 + ["number"]
+    assert not any(f.startswith(scanned.EVIDENCE) for x in scanned.without_evidence(feats) for f in x)
+
+
+@pytest.mark.parametrize(("line", "shape"), [("Page 3 of 9", "total"), ("12 / 30", "total"), ("Page 3", "word"), ("xviii", "Roman"), ("- 12 -", "dashed"), ("12", "bare"), ("words", "")])
+def test_shapes_of_page_numbers(line, shape):
+    assert scanned.number_shape(line) == shape
+
+
 def test_scanned_tables_with_gaps(spark, sf):
     irs, lex = spark.read.parquet(f"{sf}/document_irs.parquet"), spark.read.parquet(f"{sf}/lexicon.parquet")
     odd = irs.withColumn("text_blocks", F.when(F.col("ir_id") % 3 == 0, F.lit(None)).when(F.col("ir_id") % 3 == 1, F.transform("text_blocks", lambda b: F.struct(b["text"].alias("text"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("array<string>").alias("section_path")))).otherwise(F.col("text_blocks")))

@@ -1,12 +1,15 @@
 """Most similar vectors for every vector: an inverted multi-index.
 
 A vector's two halves are quantised apart, each to the nearest of K centroids, so K * K cells of (first, second) partition a
-collection. A query visits cells in order of the summed distance of its halves to the two centroids, which a heap yields one by one,
+collection; K grows with the collection. A query visits cells in order of the summed distance of its halves to the two centroids, which a heap yields one by one,
 and the entries of the visited cells are reranked by their exact cosine.
 
-Where the k nearest may be far away, no bound on the cells excludes any: such a search (probes None) meets the whole collection in blocks.
+How many cells a query visits is measured for each collection when its centroids are made: for up to 256 vectors of the sample, the place of the cells of their true
+neighbours (or, where a least cosine is asked for, of vectors made at exactly that cosine) in the heap's order; so many cells are visited as hold the share `recall` of them. The sample is
+thinner than the collection and its neighbours farther, so the number is on the safe side. Where more than the share `whole` of the cells would be needed no index
+helps: such a collection is one cell, searched whole and exactly.
 
-Only the centroids come from a sample (at most `sample_rows` vectors of a collection); every vector is indexed. Equal vectors of a
+Only the centroids and that number come from a sample (of at most sample_rows or 8 K vectors of a collection); every vector is indexed. Equal vectors of a
 collection form one class: a class is searched once and stands in the index with its first k + 1 ids, which is all that any top k can show
 of it, so copies of one vector cost nothing.
 """
@@ -15,6 +18,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,7 +30,9 @@ from pyspark.sql import functions as F
 from ..shared import bounded, table
 
 CELL_ROWS = 128  # entries that an average cell should have
-BLOCK_ROWS, BLOCK_QUERIES = 65_536, 131_072  # entries and queries that meet in one task of an exact search
+BASE = 65_536  # a cell is numbered first * BASE + second; WHOLE is the only cell of a collection that is searched whole
+WHOLE = -1
+BOOK_BYTES = 64 << 20  # centroids that are sent to the executors at once
 
 
 def unit_vectors(df: DataFrame, extra: str | None = None) -> DataFrame:
@@ -72,35 +79,66 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def codebooks(vectors: DataFrame, sample_rows: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The two halves' centroids of each collection, from a bounded sample; their number follows the collection's size.
-
-    What reaches the driver is 2 K dim / 2 floats a collection, K <= 256: at most 256 KB for 256 dimensions.
-    """
-    sizes = vectors.groupBy("coll").agg(F.count("*").alias("n"))
-    some = vectors.join(bounded(sizes), "coll").where(F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(sample_rows) / F.col("n")) * (1 << 20))
+def halves(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of the rows' halves to the centroids."""
+    h = a.shape[1]
+    return tuple((y * y).sum(axis=1)[:, None] - 2 * y @ c.T + (c * c).sum(axis=1) for y, c in ((x[:, :h], a), (x[:, h:], b)))
+
+
+def probes_for(x: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, min_cosine: float | None, recall: float, asked: int = 256) -> int:
+    """Cells to visit so that the share `recall` of the sample's neighbours is met."""
+    r = np.random.default_rng(0)
+    q = r.choice(len(x), min(asked, len(x)), replace=False)
+    home = [d.argmin(axis=1) for d in halves(x, a, b)]
+    if min_cosine is None:
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -9
+        near = np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
+        asking = x[q]
+    else:  # vectors at just that cosine in any direction
+        u = r.normal(size=(len(q), x.shape[1]))
+        u -= (u * x[q]).sum(axis=1)[:, None] * x[q]
+        u /= np.maximum(np.linalg.norm(u, axis=1), 1e-9)[:, None]
+        asking, near = min_cosine * x[q] + np.sqrt(1 - min_cosine**2) * u, q[:, None]
+    places = []
+    for d1, d2, own in zip(*halves(asking, a, b), near, strict=True):
+        o = np.sort(d2)
+        places += [int(np.searchsorted(o, d1[home[0][n]] + d2[home[1][n]] - d1, side="left").sum()) for n in own]
+    return int(np.quantile(places, recall, method="higher")) + 1
+
+
+class Book(NamedTuple):
+    """A collection's centroids, and how many cells a query visits (0: the collection is searched whole)."""
+
+    first: np.ndarray
+    second: np.ndarray
+    probes: int
+
+
+def codebooks(stored: DataFrame, k: int, min_cosine: float | None, recall: float, whole: float, sample_rows: int) -> DataFrame:
+    """(coll, k, probes, a, b) of each collection of (coll, cls, vec), from a bounded sample; K follows the collection's size."""
+    sizes = stored.groupBy("coll").agg(F.approx_count_distinct("cls", 0.02).alias("n"))
+    sizes = bounded(sizes.withColumn("rows", F.greatest(F.lit(sample_rows), F.least(F.sqrt(F.col("n") / CELL_ROWS), F.lit(4096)) * 8)))
+    some = stored.join(sizes, "coll").where(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) < F.least(F.lit(1.0), F.col("rows") / F.col("n")) * (1 << 20)).dropDuplicates(["coll", "cls"])
 
     def train(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(p["vec"].sort_values()), dtype=np.float32).reshape(len(p), -1)
-        k = int(np.clip(np.sqrt(p["n"].iloc[0] / CELL_ROWS), 2, 256))
+        many = min(int(np.clip(np.sqrt(p["n"].iloc[0] / CELL_ROWS), 2, 4096)), len(x))
         h = x.shape[1] // 2
-        a, b = kmeans(x[:, :h], min(k, len(x))), kmeans(x[:, h:], min(k, len(x)))
-        return pd.DataFrame({"coll": [key[0]], "k": [len(a)], "a": [a.tobytes()], "b": [b.tobytes()]})
+        a, b = kmeans(x[:, :h], many), kmeans(x[:, h:], many)
+        probes = probes_for(x.astype(np.float64), a, b, k, min_cosine, recall) if len(x) > k + 1 else many * many
+        return pd.DataFrame({"coll": [key[0]], "k": [many], "probes": [probes if probes <= whole * many * many else 0], "a": [a.tobytes()], "b": [b.tobytes()]})
 
-    rows = some.groupBy("coll").applyInPandas(train, "coll string, k int, a binary, b binary").collect()
-    return {r.coll: (np.frombuffer(r.a, dtype=np.float32).reshape(r.k, -1), np.frombuffer(r.b, dtype=np.float32).reshape(r.k, -1)) for r in rows}
+    return some.groupBy("coll").applyInPandas(train, "coll string, k int, probes int, a binary, b binary")
 
 
-def nearest_cells(d1: np.ndarray, d2: np.ndarray, most: int, radius: float) -> list[tuple[int, int]]:
-    """Cells (i, j) in order of d1[i] + d2[j], by a heap over the sorted halves: at most `most`, and none past the first whose sum
-    exceeds the least sum by more than radius."""
+def nearest_cells(d1: np.ndarray, d2: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """The first `most` cells (i, j) in order of d1[i] + d2[j], by a heap over the sorted halves."""
     o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
     s1, s2 = d1[o1].tolist(), d2[o2].tolist()
-    heap, out, limit = [(s1[0] + s2[0], 0, 0)], [], s1[0] + s2[0] + radius
+    heap, out = [(s1[0] + s2[0], 0, 0)], []
     while heap and len(out) < most:
-        d, i, j = heapq.heappop(heap)
-        if d > limit:
-            break
+        _, i, j = heapq.heappop(heap)
         out.append((o1[i], o2[j]))
         if j + 1 < len(s2):
             heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
@@ -109,44 +147,40 @@ def nearest_cells(d1: np.ndarray, d2: np.ndarray, most: int, radius: float) -> l
     return out
 
 
-def _cells(df: DataFrame, books: dict, most: int, radius: float) -> DataFrame:
-    """Adds coll's cells to visit (the home cell alone for most = 1)."""
-    shared = df.sparkSession.sparkContext.broadcast(books)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            coll, vec = np.asarray(b.column("coll").to_pylist(), dtype=object), b.column("vec").to_pylist()
-            cells: list[list[int]] = [[] for _ in vec]
-            for c in set(coll.tolist()) & shared.value.keys():
-                rows = np.flatnonzero(coll == c)
-                x = np.frombuffer(b"".join(vec[r] for r in rows), dtype=np.float32).reshape(len(rows), -1)
-                k1, k2 = shared.value[c]
-                h = k1.shape[1]
-                d1 = (x[:, :h] ** 2).sum(axis=1)[:, None] - 2 * x[:, :h] @ k1.T + (k1 * k1).sum(axis=1)
-                d2 = (x[:, h:] ** 2).sum(axis=1)[:, None] - 2 * x[:, h:] @ k2.T + (k2 * k2).sum(axis=1)
-                if most == 1:
-                    for r, i, j in zip(rows, d1.argmin(axis=1), d2.argmin(axis=1), strict=True):
-                        cells[r] = [int(i) * 1024 + int(j)]
-                else:
-                    few = len(k1) * len(k2) <= 9  # so few cells that all of them may be visited
-                    for r, u, v in zip(rows, d1, d2, strict=True):
-                        cells[r] = [i * 1024 + j for i, j in nearest_cells(u, v, 9 if few else most, radius)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
-
+def _cells(df: DataFrame, books: DataFrame, home: bool) -> DataFrame:
+    """Adds cells: those to visit, or only the home cell. books is a written table; of more than BOOK_BYTES of centroids a share at a time is sent to the executors."""
+    size = books.agg(F.sum(F.length("a") + F.length("b"))).first()[0] or 0
+    shares = -(-size // BOOK_BYTES)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kinds}, cells array<int>")
-
-
-def _blocks(queries: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries and entries (coll, cls, vec) with coll's (cell, part) such that each query meets each entry of its collection once: cells
-    are blocks of about BLOCK_ROWS entries, parts blocks of about BLOCK_QUERIES queries."""
-    n = queries.groupBy("coll").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))
-    n = bounded(table(n.join(entries.groupBy("coll").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "coll"), "blocks"))
-    own, all_ = (lambda c: F.pmod(F.xxhash64("cls"), F.col(c)).cast("int")), (lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)))
-    visits = queries.join(n, "coll").withColumn("part", own("parts")).withColumn("cell", all_("blocks"))
-    targets = entries.join(n, "coll").withColumn("cell", own("blocks")).withColumn("part", all_("parts"))
-    # with names of their own, as both sides come from one table
-    return visits.select(*[F.col(c).alias(c) for c in ("coll", "cls", "vec", "cell", "part")]), targets.select("coll", "cell", "cls", "vec", "part")
+    parts = []
+    for n in range(max(shares, 1)):
+        mine = F.pmod(F.xxhash64("coll"), F.lit(max(shares, 1))) == n
+        rows = books.where(mine).collect()
+        held = {r.coll: Book(*(np.frombuffer(c, dtype=np.float32).reshape(r.k, -1) for c in (r.a, r.b)), r.probes) for r in rows}
+        shared = df.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                coll, vec = np.asarray(b.column("coll").to_pylist(), dtype=object), b.column("vec").to_pylist()
+                cells: list[list[int]] = [[] for _ in vec]
+                for c in set(coll.tolist()) & shared.value.keys():
+                    rows, book = np.flatnonzero(coll == c), shared.value[c]
+                    if not book.probes:
+                        for r in rows:
+                            cells[r] = [WHOLE]
+                        continue
+                    x = np.frombuffer(b"".join(vec[r] for r in rows), dtype=np.float32).reshape(len(rows), -1)
+                    d1, d2 = halves(x, book.first, book.second)
+                    if home:
+                        for r, i, j in zip(rows, d1.argmin(axis=1), d2.argmin(axis=1), strict=True):
+                            cells[r] = [int(i) * BASE + int(j)]
+                    else:
+                        for r, u, v in zip(rows, d1, d2, strict=True):
+                            cells[r] = [i * BASE + j for i, j in nearest_cells(u, v, book.probes)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int64()))], names=[*b.schema.names, "cells"])
+
+        parts.append((df.where(mine) if shares > 1 else df).mapInArrow(run, f"{kinds}, cells array<bigint>"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _block(s: np.ndarray, n: int, least: float, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,14 +193,14 @@ def _block(s: np.ndarray, n: int, least: float, at: int) -> tuple[np.ndarray, np
     return i + at, j, s[i, j]
 
 
-def top_similar(vectors: DataFrame, k: int = 10, probes: int | None = 3, radius: float = 0.5, min_cosine: float | None = None, sample_rows: int = 8192, cell_rows: int = 4096, only_queries: bool = False) -> DataFrame:
+def top_similar(vectors: DataFrame, k: int = 10, recall: float = 0.95, min_cosine: float | None = None, whole: float = 0.5, sample_rows: int = 8192, cell_rows: int = 65_536, visit_rows: int = 131_072, only_queries: bool = False) -> DataFrame:
     """(query, id, cosine, rank): for each query vector the k most similar stored vectors of its collection, rank from 1.
 
     vectors: (id, coll, q, vec) of unit_vectors(); q is false for stored vectors and true for those that only ask. With only_queries the
     stored vectors don't ask. An id never meets itself; an id that occurs with several vectors counts with the least of them. Ties go
-    to the lesser id. With min_cosine only neighbours at least so similar are kept. Cells of over cell_rows entries are
-    split over several tasks. With probes None every query meets its whole collection, in blocks, and the result is exact. An empty input
-    gives no rows.
+    to the lesser id. With min_cosine only neighbours at least so similar are kept. recall is the share of the neighbours that the visited cells should hold; collections that
+    need more than the share `whole` of their cells for it are searched whole. A cell of over cell_rows entries, or with over visit_rows queries to expect, is
+    split over a grid of tasks. An empty input gives no rows.
     """
     one = vectors.groupBy("coll", "q", "id").agg(F.min("vec").alias("vec"))
     one = table(one.withColumn("cls", F.expr("unhex(md5(vec))")), "vectors")
@@ -174,28 +208,28 @@ def top_similar(vectors: DataFrame, k: int = 10, probes: int | None = 3, radius:
     w = Window.partitionBy("coll", "cls").orderBy("id")
     heads = stored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)  # the limit is applied before the shuffle, too
     heads = heads.groupBy("coll", "cls").agg(F.min("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids"))
-    if probes is None:
-        entries = table(heads, "entries")
-    else:
-        books = codebooks(stored, sample_rows)
-        entries = table(_cells(heads, books, 1, 0.0).withColumn("cell", F.col("cells")[0]).drop("cells"), "entries")
+    books = table(codebooks(stored.select("coll", "cls", "vec"), k, min_cosine, recall, whole, sample_rows), "codebooks")
+    entries = table(_cells(heads, books, True).select("*", F.col("cells")[0].alias("cell")).drop("cells"), "entries")
     asking = one.where("q") if only_queries else one
     new = one.where("q").groupBy("coll", "cls").agg(F.min("vec").alias("vec")).join(entries.select("coll", "cls"), ["coll", "cls"], "left_anti")
     queries = entries.select("coll", "cls", "vec")
     queries = queries.join(one.where("q").select("coll", "cls"), ["coll", "cls"], "left_semi") if only_queries else queries
-
-    if probes is None:
-        visits, targets = _blocks(queries.unionByName(new), entries.select("coll", "cls", "vec"))
+    queries = queries.unionByName(new)
+
+    visits = _cells(queries, books, False).select("coll", "cls", "vec", F.explode("cells").alias("cell"))
+    targets = entries.select("coll", "cell", "cls", "vec")
+    # queries to expect in a cell: as many of the collection's as the cell holds of its entries, for each cell that one visits
+    asks = asking.groupBy("coll").agg(F.count("*").alias("asks"))
+    held = entries.groupBy("coll", "cell").agg(F.count("*").alias("n"))
+    expect = held.join(bounded(held.groupBy("coll").agg(F.sum("n").alias("all"))), "coll").join(bounded(asks), "coll").join(bounded(books.select("coll", "probes")), "coll")
+    grid = expect.select("coll", "cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"), F.ceil(F.col("n") / F.col("all") * F.col("asks") * F.greatest("probes", F.lit(1)) / visit_rows).cast("int").alias("vparts"))
+    large = bounded(table(grid.where("parts > 1 OR vparts > 1"), "large-cells"))
+    if large.isEmpty():
+        visits, targets = (x.withColumns({"part": F.lit(0), "vpart": F.lit(0)}) for x in (visits, targets))
     else:
-        visits = _cells(queries.unionByName(new), books, probes, radius).select("coll", "cls", "vec", F.explode("cells").alias("cell"))
-        targets = entries.select("coll", "cell", "cls", "vec")
-        large = bounded(table(entries.groupBy("coll", "cell").count().where(F.col("count") > cell_rows).select("coll", "cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts")), "large-cells"))
-        if large.isEmpty():
-            visits, targets = visits.withColumn("part", F.lit(0)), targets.withColumn("part", F.lit(0))
-        else:
-            parts = F.coalesce("parts", F.lit(1))
-            visits = visits.join(large, ["coll", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-            targets = targets.join(large, ["coll", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).drop("parts")
+        own, every = (lambda c: F.pmod(F.xxhash64("cls"), F.coalesce(c, F.lit(1))).cast("int")), (lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1)))
+        visits = visits.join(large, ["coll", "cell"], "left").withColumn("vpart", own("vparts")).withColumn("part", every("parts")).drop("parts", "vparts")
+        targets = targets.join(large, ["coll", "cell"], "left").withColumn("part", own("parts")).withColumn("vpart", every("vparts")).drop("parts", "vparts")
 
     least = -2.0 if min_cosine is None else min_cosine - 1e-5
 
@@ -210,7 +244,7 @@ def top_similar(vectors: DataFrame, k: int = 10, probes: int | None = 3, radius:
         cols = [p["coll"].combine_chunks().take(pa.array(i)), p["cls"].combine_chunks().take(pa.array(i)), e["cls"].combine_chunks().take(pa.array(j)), pa.array(np.round(s, 9))]
         return pa.table(cols, names=["coll", "cls", "other", "cosine"])
 
-    keys = ["coll", "cell", "part"]
+    keys = ["coll", "cell", "part", "vpart"]
     near = visits.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(rerank, "coll string, cls binary, other binary, cosine double")
     ids = heads.select("coll", F.col("cls").alias("other"), "ids")
     # heads of the near classes in order; k + 1 ids are enough for every member of the asking class

@@ -28,7 +28,7 @@ def test_similar_vectors_against_brute_force(spark):
     asked = {p for p in got if p[0][0] == "q"} | {p for p in got if p[1][0] == "q"}
     assert {p for p in got if p not in asked} <= want and len(got - asked) >= 0.97 * len(want) and ("q1", "v0004") in asked
     top = {}
-    for t in ann.top_similar(v.where("NOT q"), 10, probes=64, radius=9.0, cell_rows=20).collect():
+    for t in ann.top_similar(v.where("NOT q"), 10, whole=1.0, cell_rows=20, visit_rows=30).collect():
         top.setdefault(t["query"], set()).add(t.id)
     hit = np.mean([len(top[f"v{i:04}"] & {f"v{j:04}" for j in np.argsort(-s[i])[:10]}) / 10 for i in range(0, 1200, 7)])
     assert hit >= 0.9
@@ -48,7 +48,7 @@ def test_no_vectors(spark):
 def test_cells_come_in_order_of_distance():
     r = np.random.default_rng(1)
     a, b = r.random(6), r.random(5)
-    cells = ann.nearest_cells(a, b, 30, 9.0)
+    cells = ann.nearest_cells(a, b, 30)
     assert len(set(cells)) == 30 and [a[i] + b[j] for i, j in cells] == sorted(a[i] + b[j] for i in range(6) for j in range(5))
 
 
@@ -211,8 +211,8 @@ def test_segmentation_is_the_best_of_all():
         assert value(pii.best_segmentation("", spans, feats, w)) == pytest.approx(best)
 
 
-def test_top_of_large_tables_is_exact(spark, tmp_path):
-    """20,000 rows, of which an index would make 144 cells."""
+def test_top_of_large_tables(spark, tmp_path):
+    """20,000 rows without any clusters, in 144 cells."""
     r = np.random.default_rng(8)
     x = r.normal(size=(20_050, 16)).astype(np.float32)
     unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
@@ -234,19 +234,38 @@ def test_top_of_large_tables_is_exact(spark, tmp_path):
     for t in queries.p1_embeddings_topk(spark, str(tmp_path)).collect() + queries.p1_requests_topk(spark, str(tmp_path)).collect():
         got.setdefault(t["query"], set()).add(t.id)
     asked = np.arange(0, 20_000, 100)
-    assert [got[i] for i in asked.tolist()] == best(unit[asked], asked)
-    assert [{int(i[1:]) for i in got[f"v{i:05}"]} for i in range(20_000, 20_050)] == best(unit[20_000:], None)
+    recall = lambda pairs: np.mean([len(a & b) / 10 for a, b in pairs])
+    assert recall(zip([got[i] for i in asked.tolist()], best(unit[asked], asked), strict=True)) >= 0.93
+    assert recall(zip([{int(i[1:]) for i in got[f"v{i:05}"]} for i in range(20_000, 20_050)], best(unit[20_000:], None), strict=True)) >= 0.9
 
 
-def test_blocks_meet_once(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
-    monkeypatch.setattr(ann, "BLOCK_QUERIES", 50)
+def test_blocks_meet_once(spark):
     x = np.random.default_rng(9).normal(size=(300, 8))
     v = ann.unit_vectors(vectors(spark, [(f"v{i:03}", "c", 8, e.tolist(), False) for i, e in enumerate(x)]), "q")
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     s = unit @ unit.T
     np.fill_diagonal(s, -9)
     got = {}
-    for t in ann.top_similar(v, 5, probes=None).collect():
+    for t in ann.top_similar(v, 5, whole=0.0, cell_rows=64, visit_rows=50).collect():
         got.setdefault(t["query"], []).append((t["rank"], t.id))
     assert {q: [i for _, i in sorted(n)] for q, n in got.items()} == {f"v{i:03}": [f"v{j:03}" for j in np.argsort(-s[i])[:5]] for i in range(300)}
+
+
+def test_recall_over_many_cells(spark, monkeypatch):
+    """13,000 clustered vectors in 100 cells, of which less than a quarter is read; centroids sent in shares."""
+    monkeypatch.setattr(ann, "BOOK_BYTES", 4_000)
+    r = np.random.default_rng(10)
+    x = r.normal(size=(400, 32))[r.integers(0, 400, 13_000)] + 0.45 * r.normal(size=(13_000, 32))
+    v = ann.unit_vectors(vectors(spark, [(f"v{i:05}", "c" if i < 12_900 else "d", 32, e.tolist(), False) for i, e in enumerate(x)]), "q").cache()
+    book = {b.coll: b for b in ann.codebooks(v.withColumn("cls", F.col("vec")), 10, None, 0.95, 0.5, 8192).collect()}
+    assert book["c"].k == 10 and 0 < book["c"].probes < 25
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    got = {}
+    for t in ann.top_similar(v, 10).collect():
+        got.setdefault(t["query"], set()).add(t.id)
+    hit = []
+    for i in range(0, 12_900, 29):
+        s = unit[:12_900] @ unit[i]
+        s[i] = -9
+        hit.append(len(got[f"v{i:05}"] & {f"v{j:05}" for j in np.argpartition(-s, 10)[:10]}) / 10)
+    assert np.mean(hit) >= 0.93

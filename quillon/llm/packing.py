@@ -2,43 +2,52 @@
 
 Items are spread over shards of bounded size. In a shard every item starts as a partial partition of its own; again and
 again the two partial partitions with the largest imbalance are merged so that the fullest windows of one meet the emptiest of the
-other, which leaves near-equal windows. Their number starts at the least that can hold the shard. Windows that fit and are nearly
-full stay; the items of the others are parted anew, into one window more whenever the capacity is exceeded and nothing could stay.
+other, which leaves near-equal windows. Their number is the least that can hold the items. Windows that fit and are full but for SLACK stay; the items of the others are
+parted anew as long as that yields such windows. What differencing then leaves, which are mostly items of over half a window, is put by best fit, the largest first, and
+the number of windows rises whenever the capacity is exceeded.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLACK = 0.02  # a window that fits stays if no more than this share of it is unused
+SLACK = 0.002  # a window that fits stays if no more than this share of it is unused
+YIELD = 0.02  # share of the windows that differencing must fill for another round
 _ENCODERS: dict[str, object] = {}
 
 
-def encoder(path: str):
-    """A public byte-level BPE vocabulary (.tiktoken file), loaded once for each worker."""
+def encoder(path: str, pattern: str):
+    """A public byte-level BPE vocabulary (.tiktoken file) with its pattern of words, loaded once for each worker."""
     if path not in _ENCODERS:
-        import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
 
 
-def token_counts(df: DataFrame, vocabulary: str) -> DataFrame:
-    """(id, tokens) of (id, text): a null text has 0 tokens. Lone surrogates and other invalid characters count as their replacement."""
+def token_counts(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """(id, tokens) of (id, text): a null text has 0 tokens. Lone surrogates and other invalid characters count as their replacement.
+
+    vocabulary is a file of the driver's, which is sent to every executor; pattern is its tokenizer's pattern of words.
+    """
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(SparkFiles.get(name), pattern)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["id", "tokens"])
@@ -84,30 +93,38 @@ def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return window, heap[0][2] if heap else np.zeros(0, dtype=np.int64)
 
 
+def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Window of each item: the largest first, each where it leaves the least space."""
+    out = np.full(len(sizes), -1, dtype=np.int64)
+    free: list[tuple[int, int]] = []
+    used = 0
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        size = int(sizes[i])
+        at = bisect_left(free, (size, -1))
+        space, window = free.pop(at) if at < len(free) else (capacity, used)
+        used += window == used
+        out[i] = window
+        insort(free, (space - size, window))
+    return out
+
+
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Window of each item (each at most capacity): no window's sum exceeds the capacity."""
     out = np.full(len(sizes), -1, dtype=np.int64)
     full = sizes == capacity
     out[full] = np.arange(full.sum())
-    rest = np.flatnonzero(~full)
-    if not len(rest):
-        return out
-    used, extra = int(full.sum()), 0
+    rest, used = np.flatnonzero(~full), int(full.sum())
     while len(rest):
-        least = -(-int(sizes[rest].sum()) // capacity) or 1
-        k = least + extra
-        window, sums = difference(sizes[rest], k)
-        # near-equal windows scatter around the capacity: those that fit and are nearly full stay, the others' items are parted again
-        if sums[0] <= capacity:
-            keep = np.ones(len(sums), dtype=bool)
-        else:
-            keep = (sums <= capacity) & (sums >= capacity * (1 - SLACK))
-            extra = extra if keep.sum() > 0.02 * len(sums) else extra + max(1, least // 40)
+        window, sums = difference(sizes[rest], -(-int(sizes[rest].sum()) // capacity) or 1)
+        keep = (sums <= capacity) & ((sums >= capacity * (1 - SLACK)) | (sums[0] <= capacity))
+        if keep.sum() <= YIELD * len(sums):
+            break
         number = np.cumsum(keep) - 1 + used
         stay = keep[window]
         out[rest[stay]] = number[window[stay]]
         used += int(keep.sum())
         rest = rest[~stay]
+    out[rest] = best_fit(sizes[rest], capacity) + used
     return out
 
 
@@ -127,7 +144,9 @@ def packed(items: DataFrame, profiles: DataFrame, shard_rows: int = 3_000) -> Da
     a null or non-positive capacity are left out. An empty input gives no rows.
     """
     kind = items.schema["id"].dataType.simpleString()
-    caps = [(r[0], r[1]) for r in profiles.select("profile", "capacity_tokens").where("capacity_tokens > 0").distinct().collect()]  # a few configured sizes
+    caps = [(r[0], r[1]) for r in profiles.select("profile", "capacity_tokens").where("capacity_tokens > 0").distinct().limit(1_001).collect()]
+    if len(caps) > 1_000:
+        raise ValueError("profiles are a few configured sizes: at most 1,000")
     schema = f"profile string, container bigint, id {kind}, piece int, first_token bigint, tokens bigint"
     if not caps:
         return items.sparkSession.createDataFrame([], schema)

@@ -78,9 +78,12 @@ class _Items:
 
 def _small_side(docs: DataFrame, ids: list[int], texts: list[str | None], span: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
+    held: dict[int, _Items] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _Items(*shared.value, span)
+        items = held.get(span)
+        if items is None:  # made once for each worker
+            items = held[span] = _Items(*shared.value, span)
         for b in batches:
             found = items.leaks(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +37,44 @@ def score(a: Column, b: Column, metric: str) -> Column:
     return {"dot": dot, "cosine": cosine}[metric](a, b) if metric != "l2" else -l2(a, b)
 
 
+def scorer(query: Sequence[float], metric: str) -> Callable[[Column | str], Column]:
+    """Scores a column of vectors against one query in Arrow batches, as score() does row by row: the longer vector's rest is ignored, null numbers count as 0, a vector that is
+    null or empty scores as the query itself does, and a cosine with a zero vector is null."""
+    q = np.asarray(query, dtype=np.float64)
+
+    def of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            if metric == "l2":
+                return -np.sqrt(((x - y) ** 2).sum(axis=1))
+            s = x @ y
+            if metric == "cosine":
+                n = np.sqrt((x * x).sum(axis=1)) * np.sqrt(q @ q)
+                s = np.where(n == 0, np.nan, s / n)
+            return s
+
+    if metric not in ("dot", "cosine", "l2"):
+        raise KeyError(metric)
+
+    def run(v: pa.Array) -> pa.Array:
+        n = np.asarray(v.value_lengths().fill_null(0)) if len(v) else np.zeros(0, dtype=np.int64)
+        flat = np.asarray(v.flatten().cast(pa.float64()).fill_null(0.0))
+        at = np.cumsum(n) - n
+        out = np.empty(len(n))
+        for d in np.unique(n):
+            rows = np.flatnonzero(n == d)
+            x = flat[at[rows][:, None] + np.arange(d)] if d else np.repeat(q[None, :], len(rows), axis=0)
+            m = min(x.shape[1], len(q))
+            if metric == "cosine" and m < x.shape[1]:  # the norm is that of the whole vector
+                with np.errstate(all="ignore"):
+                    norm = np.sqrt((x * x).sum(axis=1)) * np.sqrt(q @ q)
+                    out[rows] = np.where(norm == 0, np.nan, x[:, :m] @ q[:m] / norm)
+            else:
+                out[rows] = of(x[:, :m], q[:m])
+        return pa.array(out, mask=np.isnan(out) if metric == "cosine" else None)
+
+    return F.arrow_udf(run, "double")
+
+
 def pseudo_embedding(text: Column, dim: int) -> Column:
     """dim numbers from -1 to 1 out of SHA-256 digests of the text and a counter."""
     if dim <= 0:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..shared import table
 from . import filters
 
 #: BM25's usual constants.
@@ -21,10 +22,9 @@ K1, B = 1.2, 0.75
 def topk(df: DataFrame, query: Sequence[float], k: int, metric: str = "dot", id_col: str = "id", vector: str = "embedding", where: Column | None = None, order: Column | str | None = None) -> DataFrame:
     """df's k rows most similar to a query vector, with their score. Ties go to the lesser `order` (else id). A row without vector
     scores as the query itself does. Conditions are applied before the limit."""
-    q = F.array(*[F.lit(float(x)) for x in query])
     rows = df if where is None else df.where(where)
-    v = F.when(F.coalesce(F.size(vector), F.lit(0)) > 0, F.col(vector)).otherwise(q.cast("array<float>"))
-    return rows.withColumn("score", vectors.score(v, q, metric)).orderBy(F.desc_nulls_last("score"), order if order is not None else F.col(id_col)).limit(k)
+    scored = rows.withColumn("score", vectors.scorer(query, metric)(vector))
+    return scored.orderBy(F.desc_nulls_last("score"), order if order is not None else F.col(id_col)).limit(k)
 
 
 def batch_topk(df: DataFrame, queries: DataFrame, k: int, metric: str = "dot", id_col: str = "id", vector: str = "embedding", most_queries: int = 50_000) -> DataFrame:
@@ -45,35 +45,55 @@ def batch_topk(df: DataFrame, queries: DataFrame, k: int, metric: str = "dot", i
     shared = df.sparkSession.sparkContext.broadcast(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {d: [] for d in shared.value}  # by dimension: queries, ids, scores
+
+        def best(d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The k best of each query so far."""
+            i, ids, s = (np.concatenate(x) for x in zip(*kept[d], strict=True))
+            order = np.lexsort((ids, -s, i))
+            i, ids, s = i[order], ids[order], s[order]
+            first = np.searchsorted(i, i, side="left")
+            top = np.arange(len(i)) - first < k
+            kept[d] = [(i[top], ids[top], s[top])]
+            return kept[d][0]
+
         for b in batches:
-            ids, e = np.array(b.column(0).to_pylist(), dtype=object), b.column(1)
+            ids, e = np.array(b.column(0).to_pylist()), b.column(1)
             n = np.asarray(e.value_lengths().fill_null(-1)) if len(e) else np.zeros(0)
             flat = np.asarray(e.flatten().cast(pa.float64()).fill_null(float("nan")))
             at = np.concatenate([[0], np.cumsum(np.maximum(n, 0))]).astype(np.int64)
-            out: list[tuple] = []
-            for d, (names, q) in shared.value.items():
+            for d, (_, q) in shared.value.items():
                 rows = np.flatnonzero(n == d)
                 if not len(rows) or not d:
                     continue
                 x = flat[at[rows][:, None] + np.arange(d)]
-                with np.errstate(all="ignore"):
-                    s = q @ x.T
-                    if metric == "cosine":
-                        s /= np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                    elif metric == "l2":
-                        s = -np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] - 2 * s + (x * x).sum(axis=1)[None, :], 0))
-                s = np.round(s, 9)
-                s[~np.isfinite(s)] = -np.inf
-                edge = -np.partition(-s, k - 1, axis=1)[:, k - 1] if s.shape[1] > k else np.full(len(s), -np.finfo(float).max)
-                i, j = np.nonzero((s >= edge[:, None]) & np.isfinite(s))
-                out += zip([names[a] for a in i], ids[rows][j], s[i, j], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], _TYPES[qkind]), pa.array([o[1] for o in out], _TYPES[kind]), pa.array([o[2] for o in out], pa.float64())], names=["query", "id", "score"])
+                for begin in range(0, len(q), QUERY_BLOCK):
+                    y = q[begin : begin + QUERY_BLOCK]
+                    with np.errstate(all="ignore"):
+                        s = y @ x.T
+                        if metric == "cosine":
+                            s /= np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+                        elif metric == "l2":
+                            s = -np.sqrt(np.maximum((y * y).sum(axis=1)[:, None] - 2 * s + (x * x).sum(axis=1)[None, :], 0))
+                    s = np.round(s, 9)
+                    s[~np.isfinite(s)] = -np.inf
+                    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1] if s.shape[1] > k else np.full(len(s), -np.finfo(float).max)
+                    i, j = np.nonzero((s >= edge[:, None]) & np.isfinite(s))
+                    kept[d].append((i + begin, ids[rows][j], s[i, j]))
+                if sum(len(x[0]) for x in kept[d]) > 4 * k * len(q) + 100_000:
+                    best(d)
+        for d in kept:
+            if kept[d]:
+                i, ids, s = best(d)
+                names = shared.value[d][0]
+                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i.tolist()], _TYPES[qkind]), pa.array(ids.tolist(), _TYPES[kind]), pa.array(s)], names=["query", "id", "score"])
 
     near = df.where(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(run, f"query {qkind}, id {kind}, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+QUERY_BLOCK = 1024  # queries that meet a batch of vectors at once
 _TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
 
 
@@ -102,8 +122,10 @@ def search(stored: DataFrame, records: DataFrame, query: Sequence[float], top_k:
     raw = {"lifecycle_state": "active", **(raw_filters or {})}
     residual = {k: v for k, v in filters.coerce(raw).items() if k in ("lifecycle_state", "access_tags")}
     if mode == "exact":
-        live = stored.join(records.where(filters.predicate(raw)).select("record_id"), stored["id"] == F.col("record_id"), "left_semi")
-        hits = at_least(topk(live, query, top_k, metric), threshold)
+        # vectors are scored where they lie; what meets the records is narrow
+        scored = stored.withColumn("score", vectors.scorer(query, metric)("embedding")).drop("embedding")
+        live = scored.join(records.where(filters.predicate(raw)).select("record_id"), scored["id"] == F.col("record_id"), "left_semi")
+        hits = at_least(live.orderBy(F.desc_nulls_last("score"), "id").limit(top_k), threshold)
     else:
         hits = at_least(topk(stored.where(filters.predicate(filters.pushed(raw))), query, top_k, metric), threshold)
         known = records.select("record_id", *[F.col(k).alias(f"record_{k}") for k in residual])
@@ -117,10 +139,11 @@ def tokens(c: Column) -> Column:
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "id", text: str = "content") -> DataFrame:
-    """(id, lexical) of documents with at least one query term. One pass counts lengths and the query's terms; nothing else is exploded."""
+    """(id, lexical) of documents with at least one query term. One pass counts lengths and the query's terms; nothing is exploded."""
     terms = sorted(set(re.findall(r"[^\W_]+", query.lower())))
     times = lambda term: F.size(F.filter("t", lambda x: x == term))
     rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("t")).select("id", F.size("t").alias("n"), *[times(y).alias(f"tf{i}") for i, y in enumerate(terms)])
+    rows = table(rows, "terms")  # some numbers a document: texts are read and cut into words once
     counts = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     docs_n, mean = counts["docs"], counts["mean"] or 1.0
     parts = [

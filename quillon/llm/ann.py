@@ -2,7 +2,8 @@
 
 A vector's two halves are quantised apart, each to the nearest of K centroids, so K * K cells of (first, second) partition a
 collection; K grows with the collection. A query visits cells in order of the summed distance of its halves to the two centroids, which a heap yields one by one,
-and the entries of the visited cells are reranked by their exact cosine.
+and the entries of the visited cells are reranked by their exact cosine. Cells of one first centroid lie together, so a query's vector travels once for each
+first centroid that it visits, with the list of the second ones.
 
 How many cells a query visits is measured for each collection when its centroids are made: for up to 256 vectors of the sample, the place of the cells of their true
 neighbours (or, where a least cosine is asked for, of vectors made at exactly that cosine) in the heap's order; so many cells are visited as hold the share `recall` of them. The sample is
@@ -30,8 +31,7 @@ from pyspark.sql import functions as F
 from ..shared import bounded, table
 
 CELL_ROWS = 128  # entries that an average cell should have
-BASE = 65_536  # a cell is numbered first * BASE + second; WHOLE is the only cell of a collection that is searched whole
-WHOLE = -1
+WHOLE = -1  # stands for the first centroid in a collection that is searched whole, as one cell
 BOOK_BYTES = 64 << 20  # centroids that are sent to the executors at once
 
 
@@ -148,13 +148,14 @@ def nearest_cells(d1: np.ndarray, d2: np.ndarray, most: int) -> list[tuple[int,
 
 
 def _cells(df: DataFrame, books: DataFrame, home: bool) -> DataFrame:
-    """Adds cells: those to visit, or only the home cell. books is a written table; of more than BOOK_BYTES of centroids a share at a time is sent to the executors."""
+    """A row for each first centroid to visit, with the second ones: df with (first, seconds); with home only the home cell. books is a written table;
+    of more than BOOK_BYTES of centroids a share at a time is sent to the executors."""
     size = books.agg(F.sum(F.length("a") + F.length("b"))).first()[0] or 0
-    shares = -(-size // BOOK_BYTES)
+    shares = max(-(-size // BOOK_BYTES), 1)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
     parts = []
-    for n in range(max(shares, 1)):
-        mine = F.pmod(F.xxhash64("coll"), F.lit(max(shares, 1))) == n
+    for n in range(shares):
+        mine = F.pmod(F.xxhash64("coll"), F.lit(shares)) == n
         rows = books.where(mine).collect()
         held = {r.coll: Book(*(np.frombuffer(c, dtype=np.float32).reshape(r.k, -1) for c in (r.a, r.b)), r.probes) for r in rows}
         shared = df.sparkSession.sparkContext.broadcast(held)
@@ -162,24 +163,34 @@ def _cells(df: DataFrame, books: DataFrame, home: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 coll, vec = np.asarray(b.column("coll").to_pylist(), dtype=object), b.column("vec").to_pylist()
-                cells: list[list[int]] = [[] for _ in vec]
+                at: list[int] = []
+                first: list[int] = []
+                seconds: list[list[int]] = []
                 for c in set(coll.tolist()) & shared.value.keys():
                     rows, book = np.flatnonzero(coll == c), shared.value[c]
                     if not book.probes:
-                        for r in rows:
-                            cells[r] = [WHOLE]
+                        at += rows.tolist()
+                        first += [WHOLE] * len(rows)
+                        seconds += [[0]] * len(rows)
                         continue
                     x = np.frombuffer(b"".join(vec[r] for r in rows), dtype=np.float32).reshape(len(rows), -1)
                     d1, d2 = halves(x, book.first, book.second)
                     if home:
-                        for r, i, j in zip(rows, d1.argmin(axis=1), d2.argmin(axis=1), strict=True):
-                            cells[r] = [int(i) * BASE + int(j)]
-                    else:
-                        for r, u, v in zip(rows, d1, d2, strict=True):
-                            cells[r] = [i * BASE + j for i, j in nearest_cells(u, v, book.probes)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int64()))], names=[*b.schema.names, "cells"])
-
-        parts.append((df.where(mine) if shares > 1 else df).mapInArrow(run, f"{kinds}, cells array<bigint>"))
+                        at += rows.tolist()
+                        first += d1.argmin(axis=1).tolist()
+                        seconds += [[j] for j in d2.argmin(axis=1).tolist()]
+                        continue
+                    for r, u, v in zip(rows.tolist(), d1, d2, strict=True):
+                        by: dict[int, list[int]] = {}
+                        for i, j in nearest_cells(u, v, book.probes):
+                            by.setdefault(i, []).append(j)
+                        at += [r] * len(by)
+                        first += by.keys()
+                        seconds += by.values()
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(col.take(take) for col in b.columns), pa.array(first, pa.int32()), pa.array(seconds, pa.list_(pa.int32()))], names=[*b.schema.names, "first", "seconds"])
+
+        parts.append((df.where(mine) if shares > 1 else df).mapInArrow(run, f"{kinds}, first int, seconds array<int>"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -209,27 +220,27 @@ def top_similar(vectors: DataFrame, k: int = 10, recall: float = 0.95, min_cosin
     heads = stored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)  # the limit is applied before the shuffle, too
     heads = heads.groupBy("coll", "cls").agg(F.min("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids"))
     books = table(codebooks(stored.select("coll", "cls", "vec"), k, min_cosine, recall, whole, sample_rows), "codebooks")
-    entries = table(_cells(heads, books, True).select("*", F.col("cells")[0].alias("cell")).drop("cells"), "entries")
+    entries = table(_cells(heads, books, True).select("*", F.col("seconds")[0].alias("second")).drop("seconds"), "entries")
     asking = one.where("q") if only_queries else one
     new = one.where("q").groupBy("coll", "cls").agg(F.min("vec").alias("vec")).join(entries.select("coll", "cls"), ["coll", "cls"], "left_anti")
     queries = entries.select("coll", "cls", "vec")
     queries = queries.join(one.where("q").select("coll", "cls"), ["coll", "cls"], "left_semi") if only_queries else queries
     queries = queries.unionByName(new)
 
-    visits = _cells(queries, books, False).select("coll", "cls", "vec", F.explode("cells").alias("cell"))
-    targets = entries.select("coll", "cell", "cls", "vec")
-    # queries to expect in a cell: as many of the collection's as the cell holds of its entries, for each cell that one visits
+    visits = _cells(queries, books, False).select("coll", "cls", "vec", "first", "seconds")
+    targets = entries.select("coll", "first", "second", "cls", "vec")
+    # queries to expect at a first centroid: as many of the collection's as it has of the entries, for each one that a query visits
     asks = asking.groupBy("coll").agg(F.count("*").alias("asks"))
-    held = entries.groupBy("coll", "cell").agg(F.count("*").alias("n"))
-    expect = held.join(bounded(held.groupBy("coll").agg(F.sum("n").alias("all"))), "coll").join(bounded(asks), "coll").join(bounded(books.select("coll", "probes")), "coll")
-    grid = expect.select("coll", "cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"), F.ceil(F.col("n") / F.col("all") * F.col("asks") * F.greatest("probes", F.lit(1)) / visit_rows).cast("int").alias("vparts"))
+    held = entries.groupBy("coll", "first").agg(F.count("*").alias("n"))
+    expect = held.join(bounded(held.groupBy("coll").agg(F.sum("n").alias("all"))), "coll").join(bounded(asks), "coll").join(bounded(books.select("coll", F.least("k", F.greatest("probes", F.lit(1))).alias("firsts"))), "coll")
+    grid = expect.select("coll", "first", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"), F.ceil(F.col("n") / F.col("all") * F.col("asks") * F.col("firsts") / visit_rows).cast("int").alias("vparts"))
     large = bounded(table(grid.where("parts > 1 OR vparts > 1"), "large-cells"))
     if large.isEmpty():
         visits, targets = (x.withColumns({"part": F.lit(0), "vpart": F.lit(0)}) for x in (visits, targets))
     else:
         own, every = (lambda c: F.pmod(F.xxhash64("cls"), F.coalesce(c, F.lit(1))).cast("int")), (lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1)))
-        visits = visits.join(large, ["coll", "cell"], "left").withColumn("vpart", own("vparts")).withColumn("part", every("parts")).drop("parts", "vparts")
-        targets = targets.join(large, ["coll", "cell"], "left").withColumn("part", own("parts")).withColumn("vpart", every("vparts")).drop("parts", "vparts")
+        visits = visits.join(large, ["coll", "first"], "left").withColumn("vpart", own("vparts")).withColumn("part", every("parts")).drop("parts", "vparts")
+        targets = targets.join(large, ["coll", "first"], "left").withColumn("part", own("parts")).withColumn("vpart", every("vparts")).drop("parts", "vparts")
 
     least = -2.0 if min_cosine is None else min_cosine - 1e-5
 
@@ -238,13 +249,34 @@ def top_similar(vectors: DataFrame, k: int = 10, recall: float = 0.95, min_cosin
         s = np.zeros(0)
         if len(p) and len(e):
             x = np.frombuffer(b"".join(p["vec"].to_pylist()), dtype=np.float32).reshape(len(p), -1)
-            y = np.frombuffer(b"".join(e["vec"].to_pylist()), dtype=np.float32).reshape(len(e), -1).astype(np.float64)
-            step = max(1, min(1024, (1 << 22) // len(y)))
-            i, j, s = (np.concatenate(z) for z in zip(*(_block(x[at : at + step].astype(np.float64) @ y.T, k + 1, least, at) for at in range(0, len(x), step)), strict=True))
+            y = np.frombuffer(b"".join(e["vec"].to_pylist()), dtype=np.float32).reshape(len(e), -1)
+            asked = p["seconds"].combine_chunks()
+            who, what = np.repeat(np.arange(len(p)), np.asarray(asked.value_lengths())), np.asarray(asked.flatten())
+            who = who[np.argsort(what, kind="stable")]
+            what = np.sort(what)
+            second = e["second"].to_numpy()
+            order = np.argsort(second, kind="stable")
+            second = second[order]
+            found = []
+            for cell in np.unique(second):
+                q = who[np.searchsorted(what, cell) : np.searchsorted(what, cell, side="right")]
+                own = order[np.searchsorted(second, cell) : np.searchsorted(second, cell, side="right")]
+                z = y[own].astype(np.float64).T
+                step = max(1, min(1024, (1 << 22) // len(own)))
+                for at in range(0, len(q), step):
+                    a, b, c = _block(x[q[at : at + step]].astype(np.float64) @ z, k + 1, least, at)
+                    found.append((q[a], own[b], c))
+            if found:
+                i, j, s = (np.concatenate(z) for z in zip(*found, strict=True))
+                order = np.lexsort((-s, i))  # of all cells here the k + 1 best of a query, and those as good as the least of them
+                i, j, s = i[order], j[order], s[order]
+                begin = np.searchsorted(i, i, side="left")
+                edge = s[np.minimum(begin + k, np.searchsorted(i, i, side="right") - 1)]
+                i, j, s = (z[s >= edge] for z in (i, j, s))
         cols = [p["coll"].combine_chunks().take(pa.array(i)), p["cls"].combine_chunks().take(pa.array(i)), e["cls"].combine_chunks().take(pa.array(j)), pa.array(np.round(s, 9))]
         return pa.table(cols, names=["coll", "cls", "other", "cosine"])
 
-    keys = ["coll", "cell", "part", "vpart"]
+    keys = ["coll", "first", "part", "vpart"]
     near = visits.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(rerank, "coll string, cls binary, other binary, cosine double")
     ids = heads.select("coll", F.col("cls").alias("other"), "ids")
     # heads of the near classes in order; k + 1 ids are enough for every member of the asking class

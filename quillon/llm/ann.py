@@ -273,14 +273,19 @@ def top_similar(vectors: DataFrame, k: int = 10, recall: float = 0.95, min_cosin
                 begin = np.searchsorted(i, i, side="left")
                 edge = s[np.minimum(begin + k, np.searchsorted(i, i, side="right") - 1)]
                 i, j, s = (z[s >= edge] for z in (i, j, s))
-        cols = [p["coll"].combine_chunks().take(pa.array(i)), p["cls"].combine_chunks().take(pa.array(i)), e["cls"].combine_chunks().take(pa.array(j)), pa.array(np.round(s, 9))]
-        return pa.table(cols, names=["coll", "cls", "other", "cosine"])
+        who, at = np.unique(i, return_index=True)
+        hits = pa.StructArray.from_arrays([pa.array(np.round(s, 9)), e["cls"].combine_chunks().take(pa.array(j))], names=["cosine", "other"])
+        near = pa.ListArray.from_arrays(pa.array(np.append(at, len(i)), pa.int32()), hits)
+        return pa.table([p["coll"].combine_chunks().take(pa.array(who)), p["cls"].combine_chunks().take(pa.array(who)), near], names=["coll", "cls", "near"])
 
     keys = ["coll", "first", "part", "vpart"]
-    near = visits.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(rerank, "coll string, cls binary, other binary, cosine double")
-    ids = heads.select("coll", F.col("cls").alias("other"), "ids")
+    near = visits.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(rerank, "coll string, cls binary, near array<struct<cosine:double,other:binary>>")
+    near = near.groupBy("coll", "cls").agg(F.flatten(F.collect_list("near")).alias("near"))
+    edge = F.coalesce(F.get(F.sort_array(F.transform("near", lambda x: x["cosine"]), asc=False), F.lit(k)), F.lit(-9.0))
+    best = near.withColumn("edge", edge).select("coll", "cls", F.explode(F.filter("near", lambda x: x["cosine"] >= F.col("edge"))).alias("x")).select("coll", "cls", "x.other", "x.cosine")
+    ids = entries.select("coll", F.col("cls").alias("other"), "ids")
     # heads of the near classes in order; k + 1 ids are enough for every member of the asking class
-    lists = near.join(ids, ["coll", "other"]).select("coll", "cls", "cosine", F.explode("ids").alias("id"))
+    lists = best.join(ids, ["coll", "other"]).select("coll", "cls", "cosine", F.explode("ids").alias("id"))
     by = Window.partitionBy("coll", "cls").orderBy(F.desc("cosine"), "id")
     lists = lists.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)
     lists = lists.groupBy("coll", "cls").agg(F.sort_array(F.collect_list(F.struct("n", "id", "cosine"))).alias("near"))

@@ -34,10 +34,21 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _MADE:
+        atexit.register(release, spark)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_MADE: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables written so far, for long sessions: to be called when no result that reads them is needed any more. Happens by itself at the end."""
+    while _MADE:
+        _remove(spark, _MADE.pop())
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context, so that their Python workers can import it wherever they run."""
     sc = spark.sparkContext

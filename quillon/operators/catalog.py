@@ -214,6 +214,12 @@ def providers_of(cases_: DataFrame) -> DataFrame:
     return cases_.where("provider_id <> ''").select("provider_id").distinct().orderBy("provider_id")
 
 
+#: The report's title and the heads of its two tables.
+TITLE = "# Cross-Provider Comparison Report"
+SUMMARY_HEAD = "| Provider | Total | OK | Success Ratio | Mean Parse Time (ms) | Quality Pass Rate |\n|---|---:|---:|---:|---:|---:|\n"
+CASES_HEAD = "| Provider | Document ID | Category | Status | Mode | Text Chars | Tables | Images | Parse Time (ms) | Reason |\n|---|---|---|---|---|---:|---:|---:|---:|---|\n"
+
+
 def report(cases_: DataFrame, generated_at: str, path: str, name: str) -> tuple[Path, Path]:
     """Writes a comparison's summary and cases as JSON and as Markdown, line by line from the executors' rows, and returns both files."""
     folder = Path(path)
@@ -222,10 +228,10 @@ def report(cases_: DataFrame, generated_at: str, path: str, name: str) -> tuple[
     as_json, as_text = folder / f"{name}.json", folder / f"{name}.md"
     with as_json.open("w", encoding="utf-8") as j, as_text.open("w", encoding="utf-8") as m:
         j.write(f'{{"generated_at": {json.dumps(generated_at)}, "summary": {json.dumps(summary)}, "cases": [')
-        m.write(f"# Cross-Provider Comparison Report\n\n- Generated at: {generated_at}\n\n## Provider Summary\n\n| Provider | Total | OK | Success Ratio | Mean Parse Time (ms) | Quality Pass Rate |\n|---|---:|---:|---:|---:|---:|\n")
+        m.write(f"{TITLE}\n\n- Generated at: {generated_at}\n\n## Provider Summary\n\n{SUMMARY_HEAD}")
         for p, v in summary.items():
             m.write(f"| {p} | {v['total']} | {v['ok']} | {v['success_ratio']:.3f} | {v['mean_parse_time_ms']:.2f} | {v['quality_invariant_pass_rate']:.3f} |\n")
-        m.write("\n## Cases\n\n| Provider | Document ID | Category | Status | Mode | Text Chars | Tables | Images | Parse Time (ms) | Reason |\n|---|---|---|---|---|---:|---:|---:|---:|---|\n")
+        m.write(f"\n## Cases\n\n{CASES_HEAD}")
         for i, r in enumerate(cases_.toLocalIterator()):
             c = r.asDict(True)
             j.write((", " if i else "") + json.dumps(c))

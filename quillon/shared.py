@@ -40,6 +40,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+TASK_BYTES = 128 << 20  # of a shuffle for each task
+
+
+def tasks_for(spark: SparkSession, size: float) -> int:
+    """Partitions for a shuffle of about `size` bytes: the session's number, or more where tasks would get over TASK_BYTES."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // TASK_BYTES))
+
+
 _MADE: list[str] = []
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import bounded, table
+from ..shared import bounded, table, tasks_for
 
 CELL_ROWS = 128  # entries that an average cell should have
 WHOLE = -1  # stands for the first centroid in a collection that is searched whole, as one cell
@@ -279,6 +279,10 @@ def top_similar(vectors: DataFrame, k: int = 10, recall: float = 0.95, min_cosin
         return pa.table([p["coll"].combine_chunks().take(pa.array(who)), p["cls"].combine_chunks().take(pa.array(who)), near], names=["coll", "cls", "near"])
 
     keys = ["coll", "first", "part", "vpart"]
+    travels = expect.agg(F.sum(F.col("n") / F.col("all") * F.col("asks") * F.col("firsts"))).first()[0] or 0
+    tasks = tasks_for(vectors.sparkSession, travels * 400)
+    if tasks > int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        visits, targets = visits.repartition(tasks, *keys), targets.repartition(tasks, *keys)
     near = visits.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(rerank, "coll string, cls binary, near array<struct<cosine:double,other:binary>>")
     near = near.groupBy("coll", "cls").agg(F.flatten(F.collect_list("near")).alias("near"))
     edge = F.coalesce(F.get(F.sort_array(F.transform("near", lambda x: x["cosine"]), asc=False), F.lit(k)), F.lit(-9.0))

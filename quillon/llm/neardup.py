@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import bounded, table
+from ..shared import bounded, table, tasks_for
 from . import words as W
 
 SEGMENTS, ROWS, SHINGLE = 64, 3, 3
@@ -118,7 +118,7 @@ def _triangle(low: np.ndarray, high: np.ndarray, m: np.ndarray, radius: int, out
         out.append((m[rows][hit[0]], m[hit[1]]))
 
 
-def shard_pairs(shards: DataFrame, radius: int) -> DataFrame:
+def shard_pairs(shards: DataFrame, radius: int, tasks: int) -> DataFrame:
     """(a, b), a < b, of the cids within radius in each shard. shards: (key, side, cid, low, high), each shard small; of a shard with sides 1 and 2 only
     pairs across count, of one with side 0 all."""
 
@@ -162,9 +162,7 @@ def shard_pairs(shards: DataFrame, radius: int) -> DataFrame:
         if len(rest[0]):
             yield found(rest)
 
-    spark = shards.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(n, "key").sortWithinPartitions("key").select("key", "side", "cid", "low", "high").mapInArrow(run, "a bigint, b bigint")
+    return shards.repartition(tasks, "key").sortWithinPartitions("key").select("key", "side", "cid", "low", "high").mapInArrow(run, "a bigint, b bigint")
 
 
 def _blocks(shard: DataFrame, rows: int, radius: int) -> DataFrame:
@@ -189,14 +187,16 @@ def _blocks(shard: DataFrame, rows: int, radius: int) -> DataFrame:
 
 def candidate_pairs(classes: DataFrame, radius: int = RADIUS, shard_rows: int = 20_000) -> DataFrame:
     """Distinct (a, b) of the cids of classes (cid, runs) within the radius in some shard. Which shards are large, a sixteenth of the classes tells."""
-    shards = shards_of(classes)
+    shards, tasks = shards_of(classes), tasks_for(classes.sparkSession, classes.count() * SEGMENTS * 40)
     some = shards_of(classes.where("pmod(cid, 16) = 0")).groupBy("key").count().where(F.col("count") > shard_rows / 16).select("key")
     large = bounded(table(some, "large"))
     whole = F.lit(0).cast("bigint").alias("side")
     if large.isEmpty():
-        return shard_pairs(shards.select("key", whole, "cid", "low", "high"), radius).distinct()
+        return shard_pairs(shards.select("key", whole, "cid", "low", "high"), radius, tasks).distinct()
     small = shards.join(large, "key", "left_anti").select("key", whole, "cid", "low", "high")
-    return shard_pairs(small, radius).union(shard_pairs(_blocks(table(shards.join(large, "key", "left_semi"), "large-shards"), shard_rows, radius), radius)).distinct()
+    hot = table(shards.join(large, "key", "left_semi"), "large-shards")
+    many = hot.groupBy("key").count().agg(F.sum(F.col("count") * F.ceil(F.col("count") / shard_rows))).first()[0] or 0  # rows once copied to the blocks they meet
+    return shard_pairs(small, radius, tasks).union(shard_pairs(_blocks(hot, shard_rows, radius), radius, tasks_for(classes.sparkSession, many * 40))).distinct()
 
 
 def class_links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.5, min_words: int = 20) -> tuple[DataFrame, DataFrame]:

@@ -253,7 +253,10 @@ def test_blocks_meet_once(spark):
 
 def test_recall_over_many_cells(spark, monkeypatch):
     """13,000 clustered vectors in 100 cells, of which less than a quarter is read; centroids sent in shares."""
+    from quillon import shared
+
     monkeypatch.setattr(ann, "BOOK_BYTES", 4_000)
+    monkeypatch.setattr(shared, "TASK_BYTES", 4 << 20)
     r = np.random.default_rng(10)
     x = r.normal(size=(400, 32))[r.integers(0, 400, 13_000)] + 0.45 * r.normal(size=(13_000, 32))
     v = ann.unit_vectors(vectors(spark, [(f"v{i:05}", "c" if i < 12_900 else "d", 32, e.tolist(), False) for i, e in enumerate(x)]), "q").cache()

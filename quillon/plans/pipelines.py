@@ -9,7 +9,7 @@ from ..functions import identity as I
 from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import dialects as D
-from ..operators import filters, history, ingest, lifecycle, search, store
+from ..operators import history, ingest, lifecycle, search, store
 from ..sources import acquire, parsers, payloads
 from ..streaming import ingest as stream
 from .queries import _BM25, _CELLS, _DOCS, _HEAD, _LIVE, _P3, _PARA, _UTC_RX, NOW, _dialect, _kb, _parts_sql, _records, _tables, _text, _unnested, _uri_sql, query, read, strip_sql

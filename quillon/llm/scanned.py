@@ -1,31 +1,36 @@
 """Noise in text from scanned pages: running headers, page numbers, words broken over lines, misread characters.
 
 The lines of a document form a sequence. A linear conditional model (a first-order chain with weights for layout features and
-for transitions, trained as an averaged perceptron) labels each line as header, page number, body, or body that ends a
+for transitions) labels each line as header, page number, body, or body that ends a
 paragraph. Words are then repaired within the body alone, and paragraphs are put together from it.
 
-The model is fitted on at most TRAIN_DOCS documents whose lines are labelled by evidence that single lines lack: lines that
+The model is fitted on all documents, whose lines are labelled by evidence that single lines lack: lines that
 recur on other pages at the same edge, and numbers that run along with the pages. Each of them is shown twice, once without the features that hold this
-evidence, so that the labels can't simply be read off.
+evidence, so that the labels can't simply be read off. What fitting needs of the documents is how often each look of a line, with its label and its neighbours' labels,
+occurs: that is counted over the whole table, and the weights maximise the pseudo-likelihood of these counts.
 """
 
 from __future__ import annotations
 
 import difflib
+import json
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain as joined
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..shared import bounded_sample
+from ..shared import table
 
 LABELS = ("header", "number", "body", "break")
 HEADER, NUMBER, BODY, BREAK = range(4)
-TRAIN_DOCS = 400
+PRIOR = 1e-3  # weight of the squared weights for each line that was counted: tables of any size are fitted alike
 HYPHENS = "-‐‑¬­="
 #: What characters are commonly misread as, right form and read form.
 CONFUSIONS = (
@@ -75,15 +80,28 @@ def skeleton(line: str) -> str:
 
 
 class Line:
-    __slots__ = ("block", "no", "text", "page", "kind", "first", "last", "top", "bottom", "title", "number", "_bare", "alone", "section", "heads", "ends_with")
+    __slots__ = ("block", "no", "text", "page", "kind", "first", "last", "top", "bottom", "title", "_number", "_bare", "alone", "section", "heads", "_ends_with")
 
     def __init__(self, block: int, no: int, text: str, page: int | None, kind: str, title: str):
         self.block, self.no, self.text, self.page, self.kind, self.title = block, no, text, page, kind, title
         self.first = self.last = self.top = self.bottom = self.alone = self.heads = False
         self.section = ""
-        m = _AT_END.match(text)
-        self.ends_with = [int(n) for n in m.groups() if n] if m else []  # numbers of their own at the line's ends
-        self.number, self._bare = page_number(text), None
+        self._number = self._ends_with = self._bare = None  # made when asked for
+
+    @property
+    def number(self) -> int | None:
+        if self._number is None:
+            n = page_number(self.text)
+            self._number = -1 if n is None else n
+        return None if self._number < 0 else self._number
+
+    @property
+    def ends_with(self) -> list[int]:
+        """Numbers of their own at the line's ends."""
+        if self._ends_with is None:
+            m = _AT_END.match(self.text)
+            self._ends_with = [int(n) for n in m.groups() if n] if m else []
+        return self._ends_with
 
     @property
     def bare(self) -> str:
@@ -147,8 +165,8 @@ def _alike(a: str, b: str) -> bool:
     return len(p & q) >= 0.4 * min(len(p), len(q)) and _ratio(a, b) >= 0.8
 
 
-def features(lines: list[Line]) -> list[tuple[str, ...]]:
-    """Layout features of each line; those that look at other pages compare with every line at an edge of the document's pages."""
+def looks(lines: list[Line]) -> list[str]:
+    """How each line looks, from which its features are made; what looks at other pages compares with every line at an edge of the document's pages."""
     edges = [x for x in lines if (x.top or x.bottom or x.first) and x.bare and len(x.text) <= 60]
     groups: list[tuple[str, set]] = []
     of: dict[str, int] = {}
@@ -173,12 +191,12 @@ def features(lines: list[Line]) -> list[tuple[str, ...]]:
         short = len(t) <= 60
         runs = shape = form = None
         if x.number is not None:
-            runs, shape, form = x.page is not None and offsets[x.number - x.page] >= 2, number_shape(t), (t[:1].isdigit(), t[-1:].isdigit())
+            runs, shape, form = x.page is not None and offsets[x.number - x.page] >= 2, number_shape(t), str((t[:1].isdigit(), t[-1:].isdigit()))
         elif x.ends_with:
             runs = short and (x.first or x.last) and x.page is not None and any(lead[n - x.page] >= 2 for n in x.ends_with)
-            form = (t[:1].isdigit(), t[-1:].isdigit())
+            form = str((t[:1].isdigit(), t[-1:].isdigit()))
         after = lines[i + 1].text.lstrip()[:1] if i + 1 < len(lines) else ""
-        out.append(_described(
+        out.append(_look(
             x.kind, pages if pages < 3 else 3, "top" if x.top else "bottom" if x.bottom else "in", x.first, x.last, x.alone, x.heads, min(len(t) // 15, 4), t[-1:] if t[-1:] in _ENDS else "letter" if t[-1:].isalpha() else "digit" if t[-1:].isdigit() else "other",
             x.number is not None, runs, shape, form, _alike(x.title, x.bare) if x.title and short and x.bare else None, _alike(x.section, x.bare) if x.section and x.bare else None,
             _capitals(t) if x.first or x.last else None, "lower" if after.islower() else "upper" if after.isupper() else "other",
@@ -197,6 +215,20 @@ def _capitals(t: str) -> str | None:
 
 
 @lru_cache(1 << 16)
+def _look(*x: object) -> str:
+    return json.dumps(x)
+
+
+@lru_cache(1 << 16)
+def described(look: str) -> tuple[str, ...]:
+    return _described(*json.loads(look))
+
+
+def features(lines: list[Line]) -> list[tuple[str, ...]]:
+    """Layout features of each line."""
+    return [described(x) for x in looks(lines)]
+
+
 def _described(kind, pages, edge, first, last, alone, heads, size, end, number, runs, shape, form, title, section, capitals, after) -> tuple[str, ...]:  # noqa: ANN001
     """The names of a line's features; lines that look the same share them."""
     at = edge != "in"
@@ -277,25 +309,71 @@ class Chain:
         return y[::-1]
 
     @staticmethod
-    def fit(docs: list[tuple[list[list[str]], list[int]]], rounds: int = 6) -> Chain:
-        m, total, step = Chain(), Chain(), 1
-        grow = lambda: np.zeros(4)
-        m.w, total.w = defaultdict(grow), defaultdict(grow)
-        for _ in range(rounds):
-            for feats, gold in docs:
-                said = m.label(feats)
-                for i, (f, g, s) in enumerate(zip(feats, gold, said, strict=True)):
-                    if g != s:
-                        for x in f:
-                            for k, d in ((g, 1), (s, -1)):
-                                m.w[x][k] += d
-                                total.w[x][k] += step * d
-                    if i and (gold[i - 1], g) != (said[i - 1], s):
-                        for a, b, d in ((gold[i - 1], g, 1), (said[i - 1], s, -1)):
-                            m.t[a, b] += d
-                            total.t[a, b] += step * d
-                step += 1
-        return Chain({k: v - total.w[k] / step for k, v in m.w.items()}, m.t - total.t / step)
+    def fit(docs: list[tuple[list[tuple[str, ...]], list[int]]]) -> Chain:
+        """The chain of documents at hand: features and labels of each."""
+        return Chain.of_counts(Counter(w for feats, gold in docs for w in windows(feats, gold)))
+
+    @staticmethod
+    def of_counts(counts: dict[tuple[int, tuple[str, ...], int, int], int]) -> Chain:
+        """The chain of the highest pseudo-likelihood; counts: of (label before, features, label, label after), as windows() has them."""
+        items = sorted(counts.items())
+        if not items:
+            return Chain()
+        kinds = {f: n for n, f in enumerate(sorted({f for (_, f, _, _), _ in items}))}
+        names = {x: n for n, x in enumerate(sorted({x for f in kinds for x in f}))}
+        flat, of = np.array([names[x] for f in kinds for x in f], dtype=np.int64), np.repeat(np.arange(len(kinds)), [len(f) for f in kinds])
+        before, look, gold, after = (np.array(x) for x in zip(*((a, kinds[f], y, b) for (a, f, y, b), _ in items), strict=True))
+        n, at, k = np.array([c for _, c in items], dtype=float), np.arange(len(items)), len(names)
+        prior = PRIOR * n.sum()
+
+        def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+            w, t = x[: 4 * k].reshape(k, 4), np.zeros((5, 5))  # the last row and column: no neighbour
+            t[:4, :4] = x[4 * k :].reshape(4, 4)
+            s = np.stack([np.bincount(of, w[flat, j], len(kinds)) for j in range(4)], 1)[look] + t[before, :4] + t[:4, after].T
+            s -= s.max(1, keepdims=True)
+            p = np.exp(s)
+            z = p.sum(1)
+            d = p / z[:, None]
+            d[at, gold] -= 1
+            d *= n[:, None]
+            of_look = np.stack([np.bincount(look, d[:, j], len(kinds)) for j in range(4)], 1)
+            dw = np.stack([np.bincount(flat, of_look[of, j], k) for j in range(4)], 1)
+            dt = np.stack([np.bincount(before % 5, d[:, j], 5)[:4] for j in range(4)], 1) + np.stack([np.bincount(after % 5, d[:, j], 5)[:4] for j in range(4)])
+            return float(n @ (np.log(z) - s[at, gold]) + prior / 2 * (x @ x)), np.concatenate([dw.ravel(), dt.ravel()]) + prior * x
+
+        x = lowest(loss, np.zeros(4 * k + 16))
+        return Chain(dict(zip(names, x[: 4 * k].reshape(k, 4), strict=True)), x[4 * k :].reshape(4, 4))
+
+
+def windows(kinds: list, labels: list[int]) -> Iterator[tuple]:
+    """(label before, look, label, label after) of each line; -1 where there is no neighbour."""
+    return zip([-1, *labels[:-1]], kinds, labels, [*labels[1:], -1], strict=True) if labels else iter(())
+
+
+def lowest(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 300, keep: int = 10) -> np.ndarray:
+    """Where the convex loss, given with its gradient, is least (L-BFGS)."""
+    v, g = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, used = g.copy(), []
+        for s, y in reversed(past):
+            used.append(s @ d / (s @ y))
+            d -= used[-1] * y
+        d *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(g).sum())
+        for (s, y), a in zip(past, reversed(used), strict=True):
+            d += s * (a - y @ d / (s @ y))
+        step = 1.0
+        while (new := loss(x - step * d))[0] > v - 1e-4 * step * (g @ d) and step > 1e-10:
+            step /= 2
+        if new[0] >= v:
+            break
+        s, y = -step * d, new[1] - g
+        done, x, v, g = v - new[0] < 1e-9 * v, x + s, *new
+        if done:
+            break
+        if s @ y > 1e-12:
+            past = [*past, (s, y)][-keep:]
+    return x
 
 
 class Lexicon:
@@ -443,26 +521,79 @@ def _scanned(irs: DataFrame) -> DataFrame:
     return irs.where("provenance.ocr_engine IS NOT NULL OR provenance.ocr_confidence IS NOT NULL").select("ir_id", "text_blocks")
 
 
-def _blocks(x: object) -> list[dict]:
-    return [b if b is None or isinstance(b, dict) else b.asDict() for b in x] if x is not None else []
+def _spread(docs: DataFrame) -> DataFrame:
+    """Documents are independent: they are only spread where a few files would leave cores idle."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(2 * cores)
+
+
+def _looked(irs: DataFrame) -> DataFrame:
+    """Every scanned document with the looks of its lines and their evident labels, kept for fitting and for labelling."""
+    docs = _scanned(irs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, labels = [], []
+            for blocks in b.column(1).to_pylist():
+                lines = lines_of(blocks)
+                kinds.append(looks(lines))
+                labels.append(evident_labels(lines, [described(x) for x in kinds[-1]]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.list_(pa.string())), pa.array(labels, pa.list_(pa.int32()))], names=["ir_id", "text_blocks", "looks", "labels"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("looks", T.ArrayType(T.StringType())), T.StructField("labels", T.ArrayType(T.IntegerType()))])
+    return table(_spread(docs).mapInArrow(run, schema), "looks")
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for counts in _counted((w for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in windows(x, y)) for b in batches):
+        before, look, label, after = zip(*counts, strict=True)
+        yield pa.RecordBatch.from_pydict({"before": pa.array(before, pa.int32()), "look": look, "label": pa.array(label, pa.int32()), "after": pa.array(after, pa.int32()), "n": pa.array(counts.values(), pa.int64())})
+
+
+def _capitals_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for counts in _counted(joined.from_iterable(_INSIDE.findall(t) for t in b.column(0).to_pylist() if t) for b in batches):
+        yield pa.RecordBatch.from_pydict({"word": [w.lower() for w in counts], "n": pa.array([n if w[0].isupper() and not w.isupper() else -n for w, n in counts.items()], pa.int64())})
+
+
+_INSIDE = re.compile(r"(?<=[\w,] )[^\W\d_]+")
+
+
+def _counted(parts: Iterable[Iterable], most: int = 200_000) -> Iterator[Counter]:
+    """How often each thing occurs, given out whenever over `most` have gathered, and at the end; to be summed up."""
+    counts: Counter = Counter()
+    for x in parts:
+        counts.update(x)
+        if len(counts) > most:
+            yield counts
+            counts = Counter()
+    if counts:
+        yield counts
+
+
+def _fit(looked: DataFrame, lexicon: DataFrame) -> tuple[Chain, frozenset[str]]:
+    counts = looked.select("looks", "labels").mapInArrow(_windows, "before int, look string, label int, after int, n bigint").groupBy("before", "look", "label", "after").agg(F.sum("n"))
+    both: Counter = Counter()
+    for before, look, label, after, n in counts.collect():
+        f = described(look)
+        both[before, f, label, after] += n
+        both[before, without_evidence([f])[0], label, after] += n
+    inside = looked.select(F.explode("text_blocks.text")).mapInArrow(_capitals_of, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    capital = inside.join(lexicon.select(F.lower("word").alias("word")), "word", "left_semi")  # of other words none is asked for
+    return Chain.of_counts(both), frozenset(r[0] for r in capital.collect())
 
 
-def fit(irs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[Chain, frozenset[str]]:
-    """The model, and words that usually have a capital inside sentences, from at most train_docs documents (those of least hash)."""
-    rows = bounded_sample(_scanned(irs).where("text_blocks IS NOT NULL"), "ir_id", train_docs)
-    docs, upper, lower = [], Counter(), Counter()
-    for _, blocks in rows:
-        lines = lines_of(_blocks(blocks))
-        feats = features(lines)
-        gold = evident_labels(lines, feats)
-        docs += [(feats, gold), (without_evidence(feats), gold)]
-        for x in lines:
-            for w in re.findall(r"(?<=[\w,] )[^\W\d_]+", x.text):
-                (upper if w[0].isupper() and not w.isupper() else lower)[w.lower()] += 1
-    return Chain.fit(docs), frozenset(w for w, n in upper.items() if n > lower[w])
+def fit(irs: DataFrame, lexicon: DataFrame) -> tuple[Chain, frozenset[str]]:
+    """The model, and words of the lexicon that usually have a capital inside sentences, from all scanned documents."""
+    return _fit(_looked(irs), lexicon)
 
 
-def _run(irs: DataFrame, lexicon: DataFrame, model: tuple[Chain, frozenset[str]], schema: str, rows_of) -> DataFrame:
+def _run(irs: DataFrame, lexicon: DataFrame, model: tuple[Chain, frozenset[str]] | None, schema: str, rows_of) -> DataFrame:
+    if model is None:
+        docs = _looked(irs)
+        model = _fit(docs, lexicon)
+        docs = docs.drop("labels")
+    else:
+        docs = _scanned(irs)
     chain, capital = model
     words = [r[0] for r in lexicon.select("word").where("word IS NOT NULL").distinct().limit(5_000_001).collect()]
     if len(words) > 5_000_000:
@@ -480,25 +611,24 @@ def _run(irs: DataFrame, lexicon: DataFrame, model: tuple[Chain, frozenset[str]]
         known: dict = {}
         for b in batches:
             out: list[tuple] = []
-            for ir, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for ir, blocks, *seen in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 lines = lines_of(blocks)
                 known = known if len(known) < 100_000 else {}
-                out += [(ir, *x) for x in rows_of(*repair(lines, kept["chain"].label(features(lines), known), kept["lex"]))]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], kinds)
+                feats = [described(x) for x in seen[0]] if seen else features(lines)
+                out += [(ir, *x) for x in rows_of(*repair(lines, kept["chain"].label(feats, known), kept["lex"]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[] for _ in names], kinds.types, strict=True)], schema=kinds)
 
-    docs, cores = _scanned(irs).where("ir_id IS NOT NULL"), irs.sparkSession.sparkContext.defaultParallelism
-    # documents are independent: they are only spread where a few files would leave cores idle
-    return (docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(2 * cores)).mapInArrow(run, schema)
+    return _spread(docs.where("ir_id IS NOT NULL")).mapInArrow(run, schema)
 
 
-def found_noise(irs: DataFrame, lexicon: DataFrame, train_docs: int = TRAIN_DOCS, model: tuple[Chain, frozenset[str]] | None = None) -> DataFrame:
+def found_noise(irs: DataFrame, lexicon: DataFrame, model: tuple[Chain, frozenset[str]] | None = None) -> DataFrame:
     """Distinct (ir_id, block_no, line_no, kind, fixed): furniture lines, words broken over a line end, misread words with their right form.
 
     Only documents that went through text recognition count. Without a model (of fit()) one is fitted on the documents themselves. Blocks that are null or have a null text keep their number and give nothing.
     """
-    return _run(irs, lexicon, model or fit(irs, train_docs), "ir_id bigint, block_no int, line_no int, kind string, fixed string", lambda found, _: found).distinct()
+    return _run(irs, lexicon, model, "ir_id bigint, block_no int, line_no int, kind string, fixed string", lambda found, _: found).distinct()
 
 
-def paragraphs(irs: DataFrame, lexicon: DataFrame, train_docs: int = TRAIN_DOCS, model: tuple[Chain, frozenset[str]] | None = None) -> DataFrame:
+def paragraphs(irs: DataFrame, lexicon: DataFrame, model: tuple[Chain, frozenset[str]] | None = None) -> DataFrame:
     """(ir_id, paragraph_no, text): the readable text of each scanned document, from 0 on."""
-    return _run(irs, lexicon, model or fit(irs, train_docs), "ir_id bigint, paragraph_no int, text string", lambda _, text: enumerate(text))
+    return _run(irs, lexicon, model, "ir_id bigint, paragraph_no int, text string", lambda _, text: enumerate(text))

@@ -7,7 +7,6 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-import zlib
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,14 +72,6 @@ def ship(spark: SparkSession) -> None:
     sc._quillon_sent = True
 
 
-def bounded_sample(df: DataFrame, key: str, most: int) -> list:
-    """At most `most` rows of df on the driver, chosen by a hash of key, whatever the size of df: the share to read is counted first."""
-    n = df.count()
-    share = min(1.0, most / max(n, 1))
-    rows = df.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * most).collect()
-    return sorted(rows, key=lambda r: zlib.crc32(str(r[key]).encode()))[:most]
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
